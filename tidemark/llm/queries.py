@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality
+from . import decontaminate, lines, packing, pii, quality, simhash
 from .common import table
 
 
@@ -31,5 +31,32 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op5_pii": op5_pii}
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document; kept_sha256 is that of the text less its repeated lines."""
+    done = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = simhash.groups(table(spark, sf_dir, "documents"))
+    return got.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontaminate.flag(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", "contaminated", "item_ids", "leak_windows", F.round("leak_share", 6).alias("leak_share"))
+
+
+QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
+    "op4_packing": op4_packing,
+    "op5_pii": op5_pii,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_simhash": op8_simhash,
+    "op9_decontamination": op9_decontamination,
+}
 ORACLES = {"op2_quality_rules": quality.oracle()}
