@@ -46,7 +46,8 @@ def templates(df: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
     slot = lambda y: y["t"].isin("<n>", "<u>", "<p>")
     part = lambda i: F.slice("x", i, WINDOW)
     hashed = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.transform(part(i), lambda y: y["t"])).alias("h"), F.transform(F.filter(part(i), slot), lambda y: y["v"]).alias("slots"), F.size(F.filter(part(i), lambda y: ~slot(y))).alias("lit")))
-    return df.select(out, F.explode(hashed).alias("z")).where(F.col("z.lit") >= MIN_LITERALS).select(out, "z.pos", "z.h", "z.slots")
+    # The outer form: Spark infers no filter from it, which would evaluate all of the above again per window.
+    return df.select(out, F.explode_outer(hashed).alias("z")).where(F.col("z.lit") >= MIN_LITERALS).select(out, "z.pos", "z.h", "z.slots")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ def _ceil(a: Column, b: int) -> Column:
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lower = F.translate(F.col("l"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    cut = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("n", "l"))
+    cut = docs.select(F.col(id_col).alias("id"), F.posexplode_outer(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("n", "l"))
     return cut.select("id", "n", F.array_sort(F.array_distinct(F.transform(words(lower), lambda w: F.xxhash64(w)))).alias("s")).where(F.size("s") >= MIN_WORDS)
 
 
@@ -51,7 +51,8 @@ def _prefixes(classes: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<key:bigint,pos:int>>")
     two = F.flatten(F.transform("r", lambda h, i: F.transform(F.slice("r", 1, i), lambda g: F.struct(F.xxhash64(g, h).alias("key"), i.alias("pos")))))
     keys = F.concat(F.when(F.col("size") <= PAIR_MOST, two).otherwise(none), F.when(F.col("size") >= SINGLE_LEAST, one).otherwise(none))
-    return df.select("cid", "size", F.explode(keys).alias("k")).select(F.col("k.key").alias("key"), "cid", "size", F.col("k.pos").alias("pos"))
+    # The outer form: Spark infers no filter from it, which would repeat the expressions above.
+    return df.select("cid", "size", F.explode_outer(keys).alias("k")).where("k IS NOT NULL").select(F.col("k.key").alias("key"), "cid", "size", F.col("k.pos").alias("pos"))
 
 
 def similar_classes(classes: DataFrame) -> DataFrame:
