@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, packing, pii, quality, simhash
+from . import decontaminate, lines, packing, pii, quality, simhash, substrings, toxicity, url_lists
 from .common import table
 
 
@@ -51,12 +51,45 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "contaminated", "item_ids", "leak_windows", F.round("leak_share", 6).alias("leak_share"))
 
 
+def _md5_number(c):
+    return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
+
+
+def op1_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages has neither fetch times nor lists: a time in January 2024 comes from the url's hash, and dated entries
+    from events, of which errors list and purchases delist the hosts and domains hashed to their user."""
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", (F.lit(1704067200) + F.pmod(_md5_number(F.col("url")), F.lit(30 * 86400))).alias("fetch_ts"))
+    names = captures.select(F.explode(url_lists.keys(url_lists.host_of(F.col("url")))).alias("key")).where("key <> ''").distinct()
+    names = names.withColumn("user_id", F.pmod(_md5_number(F.col("key")), F.lit(150)))
+    events = table(spark, sf_dir, "events").where(F.col("event_type").isin("error", "purchase"))
+    events = events.select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp_ntz").cast("string")).alias("ts"), (F.col("event_type") == "error").alias("listed"))
+    got = url_lists.apply(captures, names.join(events, "user_id").select("key", "ts", "listed"))
+    return got.withColumnRenamed("id", "page_id")
+
+
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = lambda: F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", "toxic")
+    index, names = toxicity.fit(docs.join(labels, "doc_id"))
+    got = toxicity.score(docs, index, names).withColumnRenamed("id", "doc_id")
+    return got.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+
+
 QUERIES = {
+    "op1_url_lists": op1_url_lists,
     "op2_quality_rules": op2_quality_rules,
     "op4_packing": op4_packing,
     "op5_pii": op5_pii,
+    "op6_substrings": op6_substrings,
     "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES = {"op2_quality_rules": quality.oracle()}
