@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, packing, pii, quality, simhash, substrings, toxicity, url_lists
+from . import decontaminate, lines, mixing, packing, pii, quality, simhash, substrings, toxicity, url_lists
 from .common import table
 
 
@@ -62,11 +62,16 @@ def op1_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = captures.select(F.explode(url_lists.keys(url_lists.host_of(F.col("url")))).alias("key")).where("key <> ''").distinct()
     names = names.withColumn("user_id", F.pmod(_md5_number(F.col("key")), F.lit(150)))
     events = table(spark, sf_dir, "events").where(F.col("event_type").isin("error", "purchase"))
-    events = events.select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp_ntz").cast("string")).alias("ts"), (F.col("event_type") == "error").alias("listed"))
+    events = events.select("user_id", F.expr("timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts) + 1704067200").alias("ts"), (F.col("event_type") == "error").alias("listed"))
     got = url_lists.apply(captures, names.join(events, "user_id").select("key", "ts", "listed"))
     return got.withColumnRenamed("id", "page_id")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    return mixing.score(table(spark, sf_dir, "documents"), held_out).withColumnRenamed("id", "doc_id")
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return done.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -84,6 +89,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_lists": op1_url_lists,
     "op2_quality_rules": op2_quality_rules,
+    "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
     "op5_pii": op5_pii,
     "op6_substrings": op6_substrings,
@@ -92,4 +98,16 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES = {"op2_quality_rules": quality.oracle()}
+OP1_SQL = r"""
+WITH c AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
+             1704067200 + (('0x' || substr(md5(url), 1, 8))::BIGINT % 2592000) AS fetch_ts FROM pages),
+k AS (SELECT page_id, host, fetch_ts, unnest(list_transform(range(1, greatest(len(l) - 1, 1) + 1), lambda i: array_to_string(list_slice(l, i, len(l)), '.'))) AS key
+      FROM (SELECT *, string_split(host, '.') AS l FROM c)),
+e AS (SELECT key, date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) + 1704067200 AS ts, bool_and(event_type = 'error') AS listed
+      FROM (SELECT DISTINCT key FROM k WHERE key <> '') n JOIN events ON user_id = ('0x' || substr(md5(key), 1, 8))::BIGINT % 150
+      WHERE event_type IN ('error', 'purchase') GROUP BY 1, 2),
+l AS (SELECT k.page_id, k.key, (SELECT arg_max(e.listed, e.ts) FROM e WHERE e.key = k.key AND e.ts <= k.fetch_ts) AS on_list FROM k),
+b AS (SELECT page_id, arg_max(key, length(key)) AS listed_by FROM l WHERE on_list GROUP BY 1)
+SELECT c.page_id, host, fetch_ts, listed_by IS NOT NULL AS blocked, listed_by FROM c LEFT JOIN b ON c.page_id = b.page_id
+"""
+ORACLES = {"op1_url_lists": OP1_SQL, "op2_quality_rules": quality.oracle()}
