@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import words, written
 
 WINDOW = 8
 MIN_LITERALS = 3
@@ -22,42 +22,64 @@ BROADCAST_ROWS = 2_000_000
 UNITS = ("%", "mm", "cm", "m", "km", "g", "kg", "mg", "ml", "l", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "miles", "feet", "inches", "dollars", "euros", "usd", "eur", "meters", "metres", "pounds", "degrees")
 
 
-def templates(df: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
-    """(out, pos, h, slots) per window that has enough literal words; texts of fewer words than WINDOW form one
-    window, unless empty. slots are the hashed values of the window's placeholders, in order."""
-    raw = words(F.col(text_col))
+def _sequences(df: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
+    """(out, x): the words of each text with their template hash k (of the lower-case word or its placeholder), whether
+    they are a slot, and the hashed value v. Cheap comparisons stand before each pattern, since this sees every word."""
     bare = F.transform("w", lambda x: F.regexp_replace(x, r"^[^\p{L}\p{N}%]+|[^\p{L}\p{N}%]+$", ""))
-    df = df.select(F.col(id_col).alias(out), raw.alias("w")).withColumn("b", bare)
+    df = df.select(F.col(id_col).alias(out), words(F.col(text_col)).alias("w")).withColumn("b", bare)
     w, b = F.col("w"), F.col("b")
-    number = lambda x: x.rlike(r"^[0-9][0-9.,]*%?$")
+    number = lambda x: (x >= "0") & (x < ":") & x.rlike(r"^[0-9][0-9.,]*%?$")
     units = F.array(*[F.lit(u) for u in UNITS])
 
-    def kind(x, i):
-        before = F.get(w, i - 1)
-        name = x.rlike(r"^\p{Lu}") & (i > 0) & ~F.coalesce(before.rlike(r"[.!?:][^\p{L}\p{N}]*$"), F.lit(True))
-        unit = F.array_contains(units, F.lower(x)) & F.coalesce(number(F.get(b, i - 1)), F.lit(False))
-        return F.when(number(x), "<n>").when(unit, "<u>").when(name, "<p>").otherwise(F.lower(x))
-
-    df = df.withColumn("t", F.transform(b, kind))
-    # An item of a sequence: template word and, for placeholders, the hashed value.
-    df = df.select(out, F.arrays_zip(F.col("t").alias("t"), F.transform(b, lambda x: F.xxhash64(F.lower(x))).alias("v")).alias("x")).withColumn("x", F.filter("x", lambda y: y["t"] != ""))
-    n = F.size("x")
-    starts = F.when(n >= WINDOW, F.sequence(F.lit(1), n - WINDOW + 1)).when(n > 0, F.array(F.lit(1)))
-    slot = lambda y: y["t"].isin("<n>", "<u>", "<p>")
+    def item(x, i):
+        name = (x != F.lower(x)) & x.rlike(r"^\p{Lu}") & (i > 0) & ~F.coalesce(F.get(w, i - 1).rlike(r"[.!?:][^\p{L}\p{N}]*$"), F.lit(True))
+        unit = F.coalesce(number(F.get(b, i - 1)), F.lit(False)) & F.array_contains(units, F.lower(x))
+        slot = F.when(number(x), "<n>").when(unit, "<u>").when(name, "<p>")
+        return F.when(x != "", F.struct(slot.alias("t"), F.lower(x).alias("l")))
+
+    df = df.select(out, F.array_compact(F.transform(b, item)).alias("x"))
+    return df.select(out, F.transform("x", lambda y: F.struct(F.xxhash64(F.coalesce(y["t"], y["l"])).alias("k"), y["t"].isNotNull().alias("slot"), F.xxhash64(y["l"]).alias("v"))).alias("x"))
+
+
+def _starts(n):
+    return F.when(n >= WINDOW, F.sequence(F.lit(1), n - WINDOW + 1)).when(n > 0, F.array(F.lit(1)))
+
+
+def window_hashes(df: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
+    """(out, h) of every window: all that a document without a benchmark window ever costs."""
+    df = _sequences(df, id_col, text_col, out).select(out, F.transform("x", lambda y: y["k"]).alias("k"))
+    hashes = F.transform(_starts(F.size("k")), lambda i: F.xxhash64(F.slice("k", i, WINDOW)))
+    return df.select(out, F.explode_outer(hashes).alias("h"))
+
+
+def templates(df: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
+    """(out, pos, h, slots) per window that has enough literal words; texts of fewer words than WINDOW form one
+    window, unless empty. slots are the hashed values of the window's placeholders, in order."""
+    df = _sequences(df, id_col, text_col, out)
     part = lambda i: F.slice("x", i, WINDOW)
-    hashed = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.transform(part(i), lambda y: y["t"])).alias("h"), F.transform(F.filter(part(i), slot), lambda y: y["v"]).alias("slots"), F.size(F.filter(part(i), lambda y: ~slot(y))).alias("lit")))
+    of = lambda i: F.struct(
+        i.alias("pos"),
+        F.xxhash64(F.transform(part(i), lambda y: y["k"])).alias("h"),
+        F.transform(F.filter(part(i), lambda y: y["slot"]), lambda y: y["v"]).alias("slots"),
+        F.size(F.filter(part(i), lambda y: ~y["slot"])).alias("lit"),
+    )
     # The outer form: Spark infers no filter from it, which would evaluate all of the above again per window.
-    return df.select(out, F.explode_outer(hashed).alias("z")).where(F.col("z.lit") >= MIN_LITERALS).select(out, "z.pos", "z.h", "z.slots")
+    return df.select(out, F.explode_outer(F.transform(_starts(F.size("x")), of)).alias("z")).where(F.col("z.lit") >= MIN_LITERALS).select(out, "z.pos", "z.h", "z.slots")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc, item, diag, windows, share): contaminated alignments of documents with items."""
-    bench = templates(benchmark.distinct() if len(benchmark.columns) == 2 else benchmark.select(item_col, item_text).distinct(), item_col, item_text, "item")
+    """(doc, item, diag, windows, share): contaminated alignments of documents with items. A first pass over all
+    documents computes window hashes alone; only documents that share one with the benchmark are aligned."""
+    bench = written(templates(benchmark.select(item_col, item_text).distinct(), item_col, item_text, "item"), "bench")
     bench = bench.withColumnsRenamed({"pos": "ipos", "slots": "islots"})
     small = bench.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    held = F.broadcast if small else lambda df: df
     sizes = bench.groupBy("item").agg(F.countDistinct("ipos").alias("n"))
-    seen = templates(docs, id_col, text_col, "doc")
-    hit = seen.join(F.broadcast(bench) if small else bench, "h").withColumn("diag", F.col("pos") - F.col("ipos"))
+    meets = window_hashes(docs, id_col, text_col, "_met").join(held(bench.select("h").distinct()), "h", "left_semi")
+    met = written(meets.select("_met").distinct(), "met")
+    near = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(met, F.col("_id").eqNullSafe(F.col("_met")), "left_semi")
+    seen = templates(near, "_id", "_text", "doc")
+    hit = written(seen.join(held(bench), "h").withColumn("diag", F.col("pos") - F.col("ipos")), "hits")
     key = ["doc", "item", "diag"]
     # Slots: each value of the item must stand for one value of the document along the alignment.
     pairs = hit.select(*key, F.explode(F.arrays_zip(F.col("islots").alias("i"), F.col("slots").alias("d"))).alias("p"))
@@ -65,7 +87,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     bad = bad.withColumnsRenamed({"doc": "bd", "item": "bi", "diag": "bg"})
     good = hit.groupBy(*key).agg(F.countDistinct("ipos").alias("windows"))
     good = good.join(bad, F.col("doc").eqNullSafe(F.col("bd")) & F.col("item").eqNullSafe(F.col("bi")) & (F.col("diag") == F.col("bg")), "left_anti")
-    good = good.join(F.broadcast(sizes) if small else sizes, good["item"].eqNullSafe(sizes["item"])).drop(sizes["item"])
+    good = good.join(held(sizes), good["item"].eqNullSafe(sizes["item"])).drop(sizes["item"])
     return good.where((F.col("windows") >= MIN_WINDOWS) | (100 * F.col("windows") >= MIN_SHARE * F.col("n"))).select(*key, "windows", (F.col("windows") / F.col("n")).alias("share"))
 
 
