@@ -133,3 +133,31 @@ def test_pipeline(spark):
 
     got = corpus_pipeline.run(spark, SF).toPandas()
     assert 0 < got.doc_id.nunique() < 200 and Path(SF).exists()
+
+
+def test_near_dedup_against_all_pairs(docs, spark):
+    import corpus_pipeline
+
+    made = " ".join(f"word{i}" for i in range(100)).split()
+    extra = [(10_001 + k, " ".join(made[:50] + [f"new{k}"] + made[51:]), "en", "a", 1) for k in range(3)] + [(10_010, " ".join(made), "en", "a", 1)]
+    extra += [(10_020, " ".join(made[:80] + ["other"] * 20), "en", "a", 1), (10_030, "", "en", "a", 0), (10_031, None, "en", "a", 0)]
+    both = docs.unionByName(spark.createDataFrame(extra, SCHEMA).select([F.col(c).cast(docs.schema[c].dataType) for c in docs.columns]))
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets, up = {}, {}
+    for r in both.collect():
+        w = WORD.findall((r["text"] or "").translate(low))
+        sets[r["doc_id"]] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+        up[r["doc_id"]] = r["doc_id"]
+
+    def find(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                p, q = sorted((find(a), find(b)))
+                up[q] = p
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, both, SF).select("doc_id").collect()}
+    assert got == {a for a in sets if find(a) == a} and 10_001 in got and not {10_002, 10_003, 10_010} & got

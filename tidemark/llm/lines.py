@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words, written
+from .common import discard, words, written
 
 THRESHOLD = (4, 5)  # as a fraction: 0.8
 MIN_WORDS = 5
@@ -55,24 +55,42 @@ def _prefixes(classes: DataFrame) -> DataFrame:
     return df.select("cid", "size", F.explode_outer(keys).alias("k")).where("k IS NOT NULL").select(F.col("k.key").alias("key"), "cid", "size", F.col("k.pos").alias("pos"))
 
 
-def similar_classes(classes: DataFrame) -> DataFrame:
-    """(a, b) with a < b: all pairs of classes (cid, s) at or over the threshold."""
+def live_keys(classes: DataFrame) -> DataFrame:
+    """Prefix keys that two classes (cid, s) or more share."""
     keys = written(_prefixes(classes), "prefixes")
     # A key of one class joins nothing; counting first keeps such rows, nearly all, out of the join.
     live = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    keys = written(keys.join(live, "key"), "prefixes")
-    x, y = keys.alias("x"), keys.alias("y")
+    out = written(keys.join(live, "key"), "prefixes")
+    discard(keys)
+    return out
+
+
+def candidates(left: DataFrame, right: DataFrame, also: Column | None = None) -> DataFrame:
+    """(a, b) with a < b, distinct: classes that share a key of left and right (aliased x and y) and can be similar."""
+    x, y = left.alias("x"), right.alias("y")
     num, den = THRESHOLD
     need = F.ceil((F.col("x.size") + F.col("y.size")) * num / (num + den))
     # The words up to pos can all be shared, those after it at most as many as the shorter rest.
     bound = F.least(F.col("x.pos"), F.col("y.pos")) + 1 + F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos")) - 1
     fits = (F.col("x.size") * den >= F.col("y.size") * num) & (F.col("y.size") * den >= F.col("x.size") * num)
-    cand = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & fits & (bound >= need))
-    cand = written(cand.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct(), "candidates")
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & fits & (bound >= need)
+    cand = x.join(y, on if also is None else on & also)
+    return written(cand.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct(), "candidates")
+
+
+def similar(classes: DataFrame, cand: DataFrame) -> DataFrame:
+    """The candidates (a, b) whose sets reach the threshold."""
+    num, den = THRESHOLD
     sets = classes.select("cid", "s")
     both = cand.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared * den >= (F.size("sa") + F.size("sb") - shared) * num).select("a", "b")
+    return written(both.where(shared * den >= (F.size("sa") + F.size("sb") - shared) * num).select("a", "b"), "pairs")
+
+
+def similar_classes(classes: DataFrame) -> DataFrame:
+    """(a, b) with a < b: all pairs of classes (cid, s) at or over the threshold."""
+    keys = live_keys(classes)
+    return similar(classes, candidates(keys, keys))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,7 +103,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = _lines(docs, id_col, text_col)
     grouped = lines.groupBy(F.xxhash64("s").alias("cid")).agg(F.min(F.struct("id", "n")).alias("first"), F.first("s").alias("s"))
     classes = written(grouped, "classes")
-    pairs = written(similar_classes(classes), "pairs")
+    pairs = similar_classes(classes)
     ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     firsts = classes.select("cid", "first")
     ranked = ends.join(firsts.withColumnRenamed("cid", "b"), "b").groupBy("a").agg(F.min("first").alias("other"), F.count("*").alias("links"))
