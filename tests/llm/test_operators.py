@@ -161,3 +161,20 @@ def test_near_dedup_against_all_pairs(docs, spark):
                 up[q] = p
     got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, both, SF).select("doc_id").collect()}
     assert got == {a for a in sets if find(a) == a} and 10_001 in got and not {10_002, 10_003, 10_010} & got
+
+
+def test_line_query_removes_short_lines(docs, spark, tmp_path):
+    from tidemark.llm import queries
+
+    made = [(10_001, "Read more\n\nhome\none two three four"), (10_002, "read MORE\n\nHome\nmore to read\none two three four five"), (10_003, "one two three\n")]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string").select([F.col(c).cast(docs.schema[c].dataType) for c in ("doc_id", "text")]))
+    both.write.parquet(f"{tmp_path}/documents.parquet")
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    seen, want = [], {}
+    for r in sorted(both.collect(), key=lambda r: r["doc_id"]):
+        for line in (r["text"] or "").split("\n"):
+            if s := frozenset(WORD.findall(line.translate(low))):
+                want[r["doc_id"]] = want.get(r["doc_id"], 0) + any(5 * len(s & t) >= 4 * len(s | t) for t in seen)
+                seen.append(s)
+    got = {r["doc_id"]: r["n_removed"] for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: want.get(i, 0) for i in got} and (got[10_001], got[10_002], got[10_003]) == (0, 3, 0)

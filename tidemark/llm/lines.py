@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from .common import discard, words, written
 
 THRESHOLD = (4, 5)  # as a fraction: 0.8
-MIN_WORDS = 5
+MIN_WORDS = 5  # by default; the queries take every line with a word
+LINK_LEAST = 4  # smaller sets reach the threshold only when equal
 PAIR_MOST = 40
 SINGLE_LEAST = 33  # a set of 41 links to sets of 33 words at least
 BUCKETS = 1 << 16
@@ -25,10 +26,10 @@ def _ceil(a: Column, b: int) -> Column:
     return F.floor((a + (b - 1)) / b).cast("int")
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     lower = F.translate(F.col("l"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     cut = docs.select(F.col(id_col).alias("id"), F.posexplode_outer(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("n", "l"))
-    return cut.select("id", "n", F.array_sort(F.array_distinct(F.transform(words(lower), lambda w: F.xxhash64(w)))).alias("s")).where(F.size("s") >= MIN_WORDS)
+    return cut.select("id", "n", F.array_sort(F.array_distinct(F.transform(words(lower), lambda w: F.xxhash64(w)))).alias("s")).where(F.size("s") >= least)
 
 
 def _rarity(classes: DataFrame) -> Column:
@@ -50,7 +51,7 @@ def _prefixes(classes: DataFrame) -> DataFrame:
     one = F.transform(F.slice("r", 1, F.col("p")), lambda h, i: F.struct(h.alias("key"), i.alias("pos")))
     none = F.array().cast("array<struct<key:bigint,pos:int>>")
     two = F.flatten(F.transform("r", lambda h, i: F.transform(F.slice("r", 1, i), lambda g: F.struct(F.xxhash64(g, h).alias("key"), i.alias("pos")))))
-    keys = F.concat(F.when(F.col("size") <= PAIR_MOST, two).otherwise(none), F.when(F.col("size") >= SINGLE_LEAST, one).otherwise(none))
+    keys = F.concat(F.when(F.col("size").between(LINK_LEAST, PAIR_MOST), two).otherwise(none), F.when(F.col("size") >= SINGLE_LEAST, one).otherwise(none))
     # The outer form: Spark infers no filter from it, which would repeat the expressions above.
     return df.select("cid", "size", F.explode_outer(keys).alias("k")).where("k IS NOT NULL").select(F.col("k.key").alias("key"), "cid", "size", F.col("k.pos").alias("pos"))
 
@@ -93,14 +94,14 @@ def similar_classes(classes: DataFrame) -> DataFrame:
     return similar(classes, candidates(keys, keys))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """docs with text_col less its repeated lines, and n_lines, n_removed and n_links as new columns.
 
     A line goes if a line before it (smaller id, or same id and higher up) has a similarity of 0.8 or more, both
-    judged on the input. Lines of fewer than MIN_WORDS different words stay. n_links counts a document's leading
+    judged on the input. Lines of fewer than least different words stay, so with 1 only blank ones. n_links counts a document's leading
     lines' similar classes. Null and empty texts stay as they are; rows with one id count as one document; rows
     with a null id come first. Other columns pass through, and those named like new ones are replaced."""
-    lines = _lines(docs, id_col, text_col)
+    lines = _lines(docs, id_col, text_col, least)
     grouped = lines.groupBy(F.xxhash64("s").alias("cid")).agg(F.min(F.struct("id", "n")).alias("first"), F.first("s").alias("s"))
     classes = written(grouped, "classes")
     pairs = similar_classes(classes)
@@ -112,7 +113,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept = kept.withColumnRenamed("id", "_id")
     df = docs.drop("n_lines", "n_removed", "n_links").join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
     all_lines = F.split(F.col(text_col), "\n")
-    stays = lambda l, i: F.array_contains(F.coalesce("_kept", F.array().cast("array<int>")), i) | (F.size(F.array_distinct(words(F.translate(l, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))) < MIN_WORDS)
+    stays = lambda l, i: F.array_contains(F.coalesce("_kept", F.array().cast("array<int>")), i) | (F.size(F.array_distinct(words(F.translate(l, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))) < least)
     df = df.withColumn("_left", F.filter(all_lines, stays))
     return df.withColumns({
         text_col: F.when(F.col(text_col).isNotNull(), F.array_join("_left", "\n")),
