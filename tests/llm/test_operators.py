@@ -178,3 +178,17 @@ def test_line_query_removes_short_lines(docs, spark, tmp_path):
                 seen.append(s)
     got = {r["doc_id"]: r["n_removed"] for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {i: want.get(i, 0) for i in got} and (got[10_001], got[10_002], got[10_003]) == (0, 3, 0)
+
+
+def test_decontamination_finds_capitals_altered_copies_long_names_and_short_items(spark):
+    item = "A train from Boston travels 60 km in 2 hours and then stops at Boston for 15 minutes before it goes on to the coast with all of its guests still on board"
+    bench = spark.createDataFrame([(1, item), (2, "Ravens rarely eat green apples"), (3, "A boat leaves Rome with 12 sailors today")], "item_id long, text string")
+    rows = [
+        (1, "Read this: " + item.upper()),
+        (2, item.replace("stops at Boston", "stops at London").replace("from Boston", "from Paris")),
+        (3, "They say a boat leaves New York City with 90 sailors today or so"),
+        (4, "I have heard that ravens rarely eat green apples in winter"),
+        (5, "ravens eat apples rarely and green boats leave with sailors in the morning"),
+    ]
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.flag(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {1: [1], 2: [1], 3: [3], 4: [2], 5: []}

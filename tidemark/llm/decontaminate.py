@@ -1,9 +1,11 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
 Words become lower case without punctuation; numbers, units after numbers, and names (capitalised words that do not
-begin a sentence) become typed placeholders. Windows of eight template words are hash-joined with the benchmark's.
-Along one alignment of a document with an item the slots must be consistent: a value of the item always stands for
-the same value of the document. A question asked anew with other numbers or names is so found as well as a copy.
+begin a sentence, a run of them as one) become typed placeholders. Windows of eight template words are hash-joined
+with the benchmark's, and so are windows of the plain lower-case words, which find copies in any case of letters; items
+shorter than a window are sought by windows of their own length. Along one alignment of a document with an item the
+slots of windows with new values must be consistent: a value of the item always stands for the same value of the
+document. A question asked anew with other numbers or names is so found as well as a copy.
 """
 
 from __future__ import annotations
@@ -18,13 +20,17 @@ MIN_LITERALS = 3
 MIN_WINDOWS = 4
 MIN_SHARE = 50  # per cent of an item's windows that suffices below MIN_WINDOWS
 BROADCAST_ROWS = 2_000_000
+#: Marks of slots, their ends and of the next word; _NAME begins a name.
+_NEXT, _SLOT, _END = "\x01", "\x02", "\x04"
+_NAME = f"<p>{_SLOT}"
 #: Units that follow a number. Fixed values.
 UNITS = ("%", "mm", "cm", "m", "km", "g", "kg", "mg", "ml", "l", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "miles", "feet", "inches", "dollars", "euros", "usd", "eur", "meters", "metres", "pounds", "degrees")
 
 
 def _sequences(df: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
-    """(out, x): the words of each text with their template hash k (of the lower-case word or its placeholder), whether
-    they are a slot, and the hashed value v. Cheap comparisons stand before each pattern, since this sees every word."""
+    """(out, x, r): x has the words of each text, a run of names as one, with their template hash k (of the lower-case
+    word or its placeholder), whether they are a slot, and the hashed value v; r has the hashes of the lower-case words
+    alone. Cheap comparisons stand before each pattern, since this sees every word."""
     bare = F.transform("w", lambda x: F.regexp_replace(x, r"^[^\p{L}\p{N}%]+|[^\p{L}\p{N}%]+$", ""))
     df = df.select(F.col(id_col).alias(out), words(F.col(text_col)).alias("w")).withColumn("b", bare)
     w, b = F.col("w"), F.col("b")
@@ -34,61 +40,93 @@ def _sequences(df: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame
     def item(x, i):
         name = (x != F.lower(x)) & x.rlike(r"^\p{Lu}") & (i > 0) & ~F.coalesce(F.get(w, i - 1).rlike(r"[.!?:][^\p{L}\p{N}]*$"), F.lit(True))
         unit = F.coalesce(number(F.get(b, i - 1)), F.lit(False)) & F.array_contains(units, F.lower(x))
-        slot = F.when(number(x), "<n>").when(unit, "<u>").when(name, "<p>")
-        return F.when(x != "", F.struct(slot.alias("t"), F.lower(x).alias("l")))
+        as_slot = F.when(number(x), F.concat(F.lit(f"<n>{_SLOT}"), x)).when(unit, F.concat(F.lit(f"<u>{_SLOT}"), F.lower(x))).when(name, F.concat(F.lit(_NAME), F.lower(x), F.lit(_END)))
+        return F.when(x != "", F.coalesce(as_slot, F.lower(x)))
 
-    df = df.select(out, F.array_compact(F.transform(b, item)).alias("x"))
-    return df.select(out, F.transform("x", lambda y: F.struct(F.xxhash64(F.coalesce(y["t"], y["l"])).alias("k"), y["t"].isNotNull().alias("slot"), F.xxhash64(y["l"]).alias("v"))).alias("x"))
+    # Neighbouring names are joined in the text of all marked words, which takes one pass.
+    one = F.replace(F.array_join(F.array_compact(F.transform(b, item)), _NEXT), F.lit(_END + _NEXT + _NAME), F.lit(" "))
+    raw = F.transform(F.filter(b, lambda x: x != ""), lambda x: F.xxhash64(F.lower(x)))
+    df = df.select(out, one.alias("one"), raw.alias("r"))
+    df = df.select(out, "r", F.when(F.col("one") != "", F.split("one", _NEXT)).otherwise(F.array().cast("array<string>")).alias("one"))
+    slot = lambda y: F.substring(y, 4, 1) == _SLOT
+    return df.select(out, F.transform("one", lambda y: F.struct(F.xxhash64(F.when(slot(y), F.substring(y, 1, 3)).otherwise(y)).alias("k"), slot(y).alias("slot"), F.xxhash64(y).alias("v"))).alias("x"), "r")
 
 
-def _starts(n):
-    return F.when(n >= WINDOW, F.sequence(F.lit(1), n - WINDOW + 1)).when(n > 0, F.array(F.lit(1)))
+def _cut(seq, of, lengths: list[int] | None):
+    """of(start, length) for every window of the array seq: of each of the lengths; with None, of WINDOW words or, in a
+    shorter text, of all its words."""
+    n = F.size(seq)
+    none = F.array().cast("array<int>")
+    if lengths is None:
+        return F.transform(F.when(n >= WINDOW, F.sequence(F.lit(1), n - WINDOW + 1)).when(n > 0, F.array(F.lit(1))).otherwise(none), lambda i: of(i, WINDOW))
 
+    def each(size):
+        return F.transform(F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(none), lambda i: of(i, size))
 
-def window_hashes(df: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
-    """(out, h) of every window: all that a document without a benchmark window ever costs."""
-    df = _sequences(df, id_col, text_col, out).select(out, F.transform("x", lambda y: y["k"]).alias("k"))
-    hashes = F.transform(_starts(F.size("k")), lambda i: F.xxhash64(F.slice("k", i, WINDOW)))
-    return df.select(out, F.explode_outer(hashes).alias("h"))
+    return F.concat(*[each(size) for size in lengths])
 
 
-def templates(df: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
-    """(out, pos, h, slots) per window that has enough literal words; texts of fewer words than WINDOW form one
-    window, unless empty. slots are the hashed values of the window's placeholders, in order."""
+def window_hashes(df: DataFrame, id_col: str, text_col: str, out: str, lengths: tuple[list[int], list[int]]) -> DataFrame:
+    """(out, h) of every window, of templates and of plain words: all that a document without a benchmark window ever
+    costs."""
+    df = _sequences(df, id_col, text_col, out).select(out, F.transform("x", lambda y: y["k"]).alias("k"), "r")
+    hashes = [_cut(F.col(c), lambda i, size, c=c: F.xxhash64(F.slice(c, i, size)), at) for c, at in zip(("k", "r"), lengths, strict=True)]
+    return df.select(out, F.explode_outer(F.concat(*hashes)).alias("h"))
+
+
+def templates(df: DataFrame, id_col: str, text_col: str, out: str, lengths: tuple[list[int] | None, list[int] | None] = (None, None)) -> DataFrame:
+    """(out, plain, pos, h, slots, size) per window that has enough literal words, of templates and of plain lower-case
+    words. slots are the hashed values of the window's placeholders, in order; plain windows have none."""
     df = _sequences(df, id_col, text_col, out)
-    part = lambda i: F.slice("x", i, WINDOW)
-    of = lambda i: F.struct(
-        i.alias("pos"),
-        F.xxhash64(F.transform(part(i), lambda y: y["k"])).alias("h"),
-        F.transform(F.filter(part(i), lambda y: y["slot"]), lambda y: y["v"]).alias("slots"),
-        F.size(F.filter(part(i), lambda y: ~y["slot"])).alias("lit"),
-    )
+
+    def template(i, size):
+        part = F.slice("x", i, size)
+        return F.struct(
+            F.lit(False).alias("plain"),
+            i.alias("pos"),
+            F.xxhash64(F.transform(part, lambda y: y["k"])).alias("h"),
+            F.transform(F.filter(part, lambda y: y["slot"]), lambda y: y["v"]).alias("slots"),
+            F.size(F.filter(part, lambda y: ~y["slot"])).alias("lit"),
+            F.size(part).alias("size"),
+        )
+
+    def plain(i, size):
+        part = F.slice("r", i, size)
+        return F.struct(F.lit(True).alias("plain"), i.alias("pos"), F.xxhash64(part).alias("h"), F.array().cast("array<bigint>").alias("slots"), F.size(part).alias("lit"), F.size(part).alias("size"))
+
     # The outer form: Spark infers no filter from it, which would evaluate all of the above again per window.
-    return df.select(out, F.explode_outer(F.transform(_starts(F.size("x")), of)).alias("z")).where(F.col("z.lit") >= MIN_LITERALS).select(out, "z.pos", "z.h", "z.slots")
+    both = F.concat(_cut(F.col("x"), template, lengths[0]), _cut(F.col("r"), plain, lengths[1]))
+    return df.select(out, F.explode_outer(both).alias("z")).where(F.col("z.lit") >= MIN_LITERALS).select(out, "z.plain", "z.pos", "z.h", "z.slots", "z.size")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc, item, diag, windows, share): contaminated alignments of documents with items. A first pass over all
-    documents computes window hashes alone; only documents that share one with the benchmark are aligned."""
+    """(doc, item, windows, share): contaminated pairs, once per alignment of templates and once for plain words. A
+    first pass over all documents computes window hashes alone; only documents that share one with the benchmark are
+    aligned."""
     bench = written(templates(benchmark.select(item_col, item_text).distinct(), item_col, item_text, "item"), "bench")
-    bench = bench.withColumnsRenamed({"pos": "ipos", "slots": "islots"})
+    short = {(r["plain"], r["size"]) for r in bench.where(F.col("size") < WINDOW).select("plain", "size").distinct().collect()}
+    lengths = tuple([WINDOW, *sorted(n for p, n in short if p == plain)] for plain in (False, True))
+    bench = bench.drop("size").withColumnsRenamed({"pos": "ipos", "slots": "islots"})
     small = bench.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     held = F.broadcast if small else lambda df: df
-    sizes = bench.groupBy("item").agg(F.countDistinct("ipos").alias("n"))
-    meets = window_hashes(docs, id_col, text_col, "_met").join(held(bench.select("h").distinct()), "h", "left_semi")
+    sizes = bench.groupBy("item", "plain").agg(F.countDistinct("ipos").alias("n")).withColumnsRenamed({"item": "si", "plain": "sp"})
+    meets = window_hashes(docs, id_col, text_col, "_met", lengths).join(held(bench.select("h").distinct()), "h", "left_semi")
     met = written(meets.select("_met").distinct(), "met")
     near = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(met, F.col("_id").eqNullSafe(F.col("_met")), "left_semi")
-    seen = templates(near, "_id", "_text", "doc")
-    hit = written(seen.join(held(bench), "h").withColumn("diag", F.col("pos") - F.col("ipos")), "hits")
+    seen = templates(near, "_id", "_text", "doc", lengths)
+    # Plain windows have no slots and need no alignment: those of both sides of an insertion add up.
+    diag = F.when(~F.col("plain"), F.col("pos") - F.col("ipos")).otherwise(0)
+    hit = written(seen.join(held(bench), ["h", "plain"]).withColumn("diag", diag).withColumn("changed", F.col("slots") != F.col("islots")), "hits")
     key = ["doc", "item", "diag"]
-    # Slots: each value of the item must stand for one value of the document along the alignment.
-    pairs = hit.select(*key, F.explode(F.arrays_zip(F.col("islots").alias("i"), F.col("slots").alias("d"))).alias("p"))
+    # Slots: in windows with new values, each value of the item must stand for one value along the alignment. Where it
+    # does not, those windows go; the others of the alignment stay.
+    pairs = hit.where("changed").select(*key, F.explode(F.arrays_zip(F.col("islots").alias("i"), F.col("slots").alias("d"))).alias("p"))
     bad = pairs.groupBy(*key, F.col("p.i").alias("i")).agg(F.min("p.d").alias("lo"), F.max("p.d").alias("hi")).where("lo <> hi").select(*key).distinct()
     bad = bad.withColumnsRenamed({"doc": "bd", "item": "bi", "diag": "bg"})
-    good = hit.groupBy(*key).agg(F.countDistinct("ipos").alias("windows"))
-    good = good.join(bad, F.col("doc").eqNullSafe(F.col("bd")) & F.col("item").eqNullSafe(F.col("bi")) & (F.col("diag") == F.col("bg")), "left_anti")
-    good = good.join(held(sizes), good["item"].eqNullSafe(sizes["item"])).drop(sizes["item"])
-    return good.where((F.col("windows") >= MIN_WINDOWS) | (100 * F.col("windows") >= MIN_SHARE * F.col("n"))).select(*key, "windows", (F.col("windows") / F.col("n")).alias("share"))
+    good = hit.join(bad, F.col("changed") & F.col("doc").eqNullSafe(F.col("bd")) & F.col("item").eqNullSafe(F.col("bi")) & (F.col("diag") == F.col("bg")), "left_anti")
+    good = good.groupBy(*key, "plain").agg(F.countDistinct("ipos").alias("windows"))
+    good = good.join(held(sizes), F.col("item").eqNullSafe(F.col("si")) & (F.col("plain") == F.col("sp")))
+    return good.where((F.col("windows") >= MIN_WINDOWS) | (100 * F.col("windows") >= MIN_SHARE * F.col("n"))).select("doc", "item", "windows", (F.col("windows") / F.col("n")).alias("share"))
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
