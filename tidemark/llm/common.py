@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,3 +51,10 @@ def discard(df: DataFrame) -> None:
         if "/tidemark-" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished steps now; it acts only on what the driver's JVM has
+    found unreachable, which would else wait for its next full collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

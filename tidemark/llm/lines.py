@@ -1,10 +1,9 @@
 """Near-duplicate lines: an exact set-similarity join over lines, with DataFrame functions only.
 
-A line is the set of its lower-cased words, held as sorted 64-bit hashes. Equal sets form a class; classes are joined
-where their Jaccard similarity reaches the threshold. Words are ordered by rarity, so that a short prefix of rare
-words must be shared: lines of up to PAIR_MOST words by two words of a prefix one longer (far rarer keys), longer
-ones by one. Length and positional filters cut candidates before they are verified. Rarity is the total count of a
-word's bucket out of BUCKETS: any fixed order is exact, and this one needs a bounded table instead of a join.
+A line is the set of its lower-cased words as hashes of 57 bits, ordered by rarity: the total count of a word's
+bucket out of BUCKETS, a table of bounded size (any order that all lines share is exact). Lines with equal sets form a
+class, held by a hash of 128 bits, and classes are joined by setjoin.py. Sets are not shuffled with the keys: those of
+the few candidates are read again from their documents.
 """
 
 from __future__ import annotations
@@ -12,109 +11,93 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, words, written
+from . import setjoin
+from .common import discard, release, written
 
-THRESHOLD = (4, 5)  # as a fraction: 0.8
 MIN_WORDS = 5  # by default; the queries take every line with a word
-LINK_LEAST = 4  # smaller sets reach the threshold only when equal
-PAIR_MOST = 40
-SINGLE_LEAST = 33  # a set of 41 links to sets of 33 words at least
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
+_FROM, _TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz    "
 
 
-def _ceil(a: Column, b: int) -> Column:
-    return F.floor((a + (b - 1)) / b).cast("int")
+def _words(line: Column) -> Column:
+    """Lower-cased words of a text without line feeds. Splitting at one character needs no pattern."""
+    return F.array_remove(F.split(F.translate(line, _FROM, _TO), " "), "")
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    lower = F.translate(F.col("l"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    cut = docs.select(F.col(id_col).alias("id"), F.posexplode_outer(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("n", "l"))
-    return cut.select("id", "n", F.array_sort(F.array_distinct(F.transform(words(lower), lambda w: F.xxhash64(w)))).alias("s")).where(F.size("s") >= least)
+def _rarity(docs: DataFrame, text_col: str) -> Column:
+    """Rarity classes of the hash buckets of words as one constant array; its size does not grow with the input."""
+    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), _FROM + "\n", _TO + " ")
+    rows = docs.select(F.explode(F.split(text, " ")).alias("w")).where("w <> ''").groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count().toArrow()
+    classes = ["0"] * BUCKETS
+    for b, n in zip(rows["b"].to_pylist(), rows["count"].to_pylist(), strict=True):
+        classes[b] = str(setjoin.rarity_class(n))
+    return F.split(F.lit(",".join(classes)), ",").cast("array<tinyint>")
 
 
-def _rarity(classes: DataFrame) -> Column:
-    """Counts of the hash buckets of words as one constant array; its size does not grow with the input."""
-    rows = classes.select(F.explode("s").alias("h")).groupBy(F.pmod("h", F.lit(BUCKETS)).cast("int").alias("b")).count().collect()
-    counts = [0] * BUCKETS
-    for r in rows:
-        counts[r["b"]] = r["count"]
-    return F.split(F.lit(",".join(map(str, counts))), ",").cast("array<bigint>")
+def _set(line: Column, table: Column) -> Column:
+    """The line's words as numbers, rare ones first."""
+    h = lambda w: F.xxhash64(w)
+    rare = lambda w: F.element_at(table, h(w).bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1).cast("long")
+    number = lambda w: F.shiftleft(rare(w), setjoin.RARITY_SHIFT).bitwiseOR(F.shiftrightunsigned(h(w), 64 - setjoin.RARITY_SHIFT))
+    return F.sort_array(F.array_distinct(F.transform(_words(line), number)))
 
 
-def _prefixes(classes: DataFrame) -> DataFrame:
-    """Rows (key, cid, size, pos): pos is the place of the key's last word in the rarity order."""
-    table = _rarity(classes)
-    ranked = F.transform(F.array_sort(F.transform("s", lambda h: F.struct(F.element_at(table, (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int")).alias("c"), h.alias("h")))), lambda x: x["h"])
+def _classes(docs: DataFrame, table: Column, least: int) -> DataFrame:
+    """docs (id, t, text) to (cid, first, size, b1, b2, keys), one row for each set of words."""
+    cut = docs.select("id", "t", F.posexplode(F.split("text", "\n")).alias("n", "l"))
+    # The outer forms: Spark infers no filter from them, which would evaluate the sets again.
+    sets = cut.select("id", "t", "n", F.explode_outer(F.array(_set(F.col("l"), table))).alias("s")).where(F.size("s") >= least)
+    b1, b2 = setjoin.signature(F.col("s"))
     size = F.size("s")
-    p = size - _ceil(size * THRESHOLD[0], THRESHOLD[1]) + 1
-    df = classes.select("cid", size.alias("size"), p.alias("p"), F.slice(ranked, 1, p + 1).alias("r"))
-    one = F.transform(F.slice("r", 1, F.col("p")), lambda h, i: F.struct(h.alias("key"), i.alias("pos")))
-    none = F.array().cast("array<struct<key:bigint,pos:int>>")
-    two = F.flatten(F.transform("r", lambda h, i: F.transform(F.slice("r", 1, i), lambda g: F.struct(F.xxhash64(g, h).alias("key"), i.alias("pos")))))
-    keys = F.concat(F.when(F.col("size").between(LINK_LEAST, PAIR_MOST), two).otherwise(none), F.when(F.col("size") >= SINGLE_LEAST, one).otherwise(none))
-    # The outer form: Spark infers no filter from it, which would repeat the expressions above.
-    return df.select("cid", "size", F.explode_outer(keys).alias("k")).where("k IS NOT NULL").select(F.col("k.key").alias("key"), "cid", "size", F.col("k.pos").alias("pos"))
-
-
-def live_keys(classes: DataFrame) -> DataFrame:
-    """Prefix keys that two classes (cid, s) or more share."""
-    keys = written(_prefixes(classes), "prefixes")
-    # A key of one class joins nothing; counting first keeps such rows, nearly all, out of the join.
-    live = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    out = written(keys.join(live, "key"), "prefixes")
-    discard(keys)
-    return out
-
-
-def candidates(left: DataFrame, right: DataFrame, also: Column | None = None) -> DataFrame:
-    """(a, b) with a < b, distinct: classes that share a key of left and right (aliased x and y) and can be similar."""
-    x, y = left.alias("x"), right.alias("y")
-    num, den = THRESHOLD
-    need = F.ceil((F.col("x.size") + F.col("y.size")) * num / (num + den))
-    # The words up to pos can all be shared, those after it at most as many as the shorter rest.
-    bound = F.least(F.col("x.pos"), F.col("y.pos")) + 1 + F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos")) - 1
-    fits = (F.col("x.size") * den >= F.col("y.size") * num) & (F.col("y.size") * den >= F.col("x.size") * num)
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & fits & (bound >= need)
-    cand = x.join(y, on if also is None else on & also)
-    return written(cand.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct(), "candidates")
-
-
-def similar(classes: DataFrame, cand: DataFrame) -> DataFrame:
-    """The candidates (a, b) whose sets reach the threshold."""
-    num, den = THRESHOLD
-    sets = classes.select("cid", "s")
-    both = cand.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return written(both.where(shared * den >= (F.size("sa") + F.size("sb") - shared) * num).select("a", "b"), "pairs")
-
-
-def similar_classes(classes: DataFrame) -> DataFrame:
-    """(a, b) with a < b: all pairs of classes (cid, s) at or over the threshold."""
-    keys = live_keys(classes)
-    return similar(classes, candidates(keys, keys))
+    full = sets.select("id", "t", "n", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), F.col("s")).alias("h2"), size.alias("size"), b1.alias("b1"), b2.alias("b2"), setjoin.keys_of(F.col("s"), size).alias("keys"))
+    got = full.groupBy("h1", "h2").agg(F.min(F.struct("id", "t", "n")).alias("first"), *[F.first(c).alias(c) for c in ("size", "b1", "b2", "keys")])
+    return got.select(F.monotonically_increasing_id().alias("cid"), "first", "size", "b1", "b2", "keys")
+
+
+def _sets_of(docs: DataFrame, firsts: DataFrame, table: Column) -> DataFrame:
+    """(cid, s) of the classes firsts (cid, first), read from the documents of their first lines."""
+    spots = written(firsts.groupBy(F.col("first.id").alias("_id"), F.col("first.t").alias("_t")).agg(F.collect_list(F.struct(F.col("first.n").alias("n"), "cid")).alias("spots")), "spots")
+    met = docs.join(spots, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).dropDuplicates(["id", "t"])
+    picked = met.select(F.explode("spots").alias("x"), F.split("text", "\n").alias("ls")).select("x.cid", F.element_at("ls", F.col("x.n") + 1).alias("l"))
+    return written(picked.select("cid", _set(F.col("l"), table).alias("s")), "sets")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """docs with text_col less its repeated lines, and n_lines, n_removed and n_links as new columns.
 
     A line goes if a line before it (smaller id, or same id and higher up) has a similarity of 0.8 or more, both
-    judged on the input. Lines of fewer than least different words stay, so with 1 only blank ones. n_links counts a document's leading
-    lines' similar classes. Null and empty texts stay as they are; rows with one id count as one document; rows
-    with a null id come first. Other columns pass through, and those named like new ones are replaced."""
-    lines = _lines(docs, id_col, text_col, least)
-    grouped = lines.groupBy(F.xxhash64("s").alias("cid")).agg(F.min(F.struct("id", "n")).alias("first"), F.first("s").alias("s"))
-    classes = written(grouped, "classes")
-    pairs = similar_classes(classes)
-    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    judged on the input. Lines of fewer than least different words stay, so with 1 only blank ones. n_links counts a
+    document's leading lines' similar classes. Null and empty texts stay as they are. Rows equal in id and text are
+    one document and fare alike; rows with one id but different texts are told apart, in the order of a hash of the text;
+    rows with a null id come first. Other columns pass through; those named like new ones are replaced."""
+    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.coalesce(text_col, F.lit("")).alias("text"))
+    table = _rarity(docs, text_col)
+    classes = written(_classes(src, table, least), "classes")
+    release(classes.sparkSession)
+    keys = setjoin.key_rows(classes)
+    cand = written(setjoin.candidates(keys, keys), "candidates")
+    release(classes.sparkSession)
     firsts = classes.select("cid", "first")
+    met = cand.select(F.col("a").alias("cid")).unionByName(cand.select(F.col("b").alias("cid"))).distinct()
+    sets = _sets_of(src, firsts.join(met, "cid"), table)
+    pairs = setjoin.similar(sets, cand)
+    discard(sets)
+    discard(cand)
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     ranked = ends.join(firsts.withColumnRenamed("cid", "b"), "b").groupBy("a").agg(F.min("first").alias("other"), F.count("*").alias("links"))
     led = firsts.join(ranked.withColumnRenamed("a", "cid"), "cid", "left").where(F.col("other").isNull() | (F.col("first") <= F.col("other")))
-    kept = led.select("first.id", "first.n", F.coalesce("links", F.lit(0)).alias("links")).groupBy("id").agg(F.sort_array(F.collect_list("n")).alias("_kept"), F.sum("links").alias("n_links"))
-    kept = kept.withColumnRenamed("id", "_id")
-    df = docs.drop("n_lines", "n_removed", "n_links").join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
+    kept = led.select("first.id", "first.t", "first.n", F.coalesce("links", F.lit(0)).alias("links")).groupBy("id", "t").agg(F.collect_list("n").alias("_kept"), F.sum("links").alias("n_links"))
+    kept = written(kept.withColumnsRenamed({"id": "_id", "t": "_t"}), "kept")
+    discard(classes)
+    discard(pairs)
+    release(docs.sparkSession)
+    df = docs.drop("n_lines", "n_removed", "n_links").join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_t")), "left").drop("_id", "_t")
     all_lines = F.split(F.col(text_col), "\n")
-    stays = lambda l, i: F.array_contains(F.coalesce("_kept", F.array().cast("array<int>")), i) | (F.size(F.array_distinct(words(F.translate(l, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))) < least)
-    df = df.withColumn("_left", F.filter(all_lines, stays))
+    # Kept places are looked up in a map: one text may have very many lines.
+    short = lambda l: F.size(F.array_distinct(_words(l))) < least if least > 1 else ~l.rlike(r"[^\x20\x09-\x0D]")
+    numbers = F.sequence(F.lit(0), F.size(all_lines) - 1)
+    stay = F.array_union(F.coalesce("_kept", F.array().cast("array<int>")), F.filter(numbers, lambda i: short(F.element_at(all_lines, i + 1))))
+    df = df.withColumn("_left", F.transform(F.sort_array(stay), lambda i: F.element_at(all_lines, i + 1)))
     return df.withColumns({
         text_col: F.when(F.col(text_col).isNotNull(), F.array_join("_left", "\n")),
         "n_lines": F.coalesce(F.size(all_lines), F.lit(0)).cast("long"),
