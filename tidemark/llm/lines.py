@@ -16,18 +16,27 @@ from .common import discard, release, written
 
 MIN_WORDS = 5  # by default; the queries take every line with a word
 BUCKETS = 1 << 18
-_FROM, _TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz    "
+_FROM, _TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _words(line: Column) -> Column:
-    """Lower-cased words of a text without line feeds. Splitting at one character needs no pattern."""
-    return F.array_remove(F.split(F.translate(line, _FROM, _TO), " "), "")
+def _lower(text: Column) -> Column:
+    """A to Z in lower case. translate() takes its time with every letter, so it is left to texts where lower() would
+    change other letters as well."""
+    plain = (F.length(text) == F.octet_length(text)) | ~text.rlike(r"[\p{Lu}\p{Lt}&&[^A-Z]]")
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, _FROM, _TO))
+
+
+def _words(text: Column) -> Column:
+    """Its lower-cased words. Splitting at one character needs no pattern."""
+    text = _lower(text)
+    for c in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def _rarity(docs: DataFrame, text_col: str) -> Column:
     """Rarity classes of the hash buckets of words as one constant array; its size does not grow with the input."""
-    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), _FROM + "\n", _TO + " ")
-    rows = docs.select(F.explode(F.split(text, " ")).alias("w")).where("w <> ''").groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count().toArrow()
+    rows = docs.select(F.explode(_words(F.col(text_col))).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count().toArrow()
     classes = ["0"] * BUCKETS
     for b, n in zip(rows["b"].to_pylist(), rows["count"].to_pylist(), strict=True):
         classes[b] = str(setjoin.rarity_class(n))
@@ -36,10 +45,9 @@ def _rarity(docs: DataFrame, text_col: str) -> Column:
 
 def _set(line: Column, table: Column) -> Column:
     """The line's words as numbers, rare ones first."""
-    h = lambda w: F.xxhash64(w)
-    rare = lambda w: F.element_at(table, h(w).bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1).cast("long")
-    number = lambda w: F.shiftleft(rare(w), setjoin.RARITY_SHIFT).bitwiseOR(F.shiftrightunsigned(h(w), 64 - setjoin.RARITY_SHIFT))
-    return F.sort_array(F.array_distinct(F.transform(_words(line), number)))
+    hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+    rare = lambda h: F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rare(h), setjoin.RARITY_SHIFT).bitwiseOR(F.shiftrightunsigned(h, 64 - setjoin.RARITY_SHIFT))))
 
 
 def _classes(docs: DataFrame, table: Column, least: int) -> DataFrame:
@@ -91,16 +99,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     discard(classes)
     discard(pairs)
     release(docs.sparkSession)
-    df = docs.drop("n_lines", "n_removed", "n_links").join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_t")), "left").drop("_id", "_t")
-    all_lines = F.split(F.col(text_col), "\n")
-    # Kept places are looked up in a map: one text may have very many lines.
+    df = docs.drop("n_lines", "n_removed", "n_links").withColumn("_t", F.xxhash64(text_col)).withColumn("_lines", F.split(text_col, "\n"))
+    df = df.join(kept.withColumnRenamed("_t", "_u"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_u")), "left")
+    # Kept places are looked up by number: one text may have very many lines.
     short = lambda l: F.size(F.array_distinct(_words(l))) < least if least > 1 else ~l.rlike(r"[^\x20\x09-\x0D]")
-    numbers = F.sequence(F.lit(0), F.size(all_lines) - 1)
-    stay = F.array_union(F.coalesce("_kept", F.array().cast("array<int>")), F.filter(numbers, lambda i: short(F.element_at(all_lines, i + 1))))
-    df = df.withColumn("_left", F.transform(F.sort_array(stay), lambda i: F.element_at(all_lines, i + 1)))
+    numbered = F.filter(F.transform("_lines", lambda l, i: F.when(short(l), i)), lambda i: i.isNotNull())
+    df = df.withColumn("_stay", F.sort_array(F.array_union(F.coalesce("_kept", F.array().cast("array<int>")), numbered)))
+    df = df.withColumn("_left", F.when(F.size("_stay") == F.size("_lines"), F.col("_lines")).otherwise(F.transform("_stay", lambda i: F.get(F.col("_lines"), i))))
     return df.withColumns({
         text_col: F.when(F.col(text_col).isNotNull(), F.array_join("_left", "\n")),
-        "n_lines": F.coalesce(F.size(all_lines), F.lit(0)).cast("long"),
-        "n_removed": F.coalesce(F.size(all_lines) - F.size("_left"), F.lit(0)).cast("long"),
+        "n_lines": F.greatest(F.coalesce(F.size("_lines"), F.lit(0)), F.lit(0)).cast("long"),
+        "n_removed": F.coalesce(F.size("_lines") - F.size("_left"), F.lit(0)).cast("long"),
         "n_links": F.coalesce("n_links", F.lit(0)).cast("long"),
-    }).drop("_kept", "_left")
+    }).drop("_kept", "_left", "_lines", "_stay", "_id", "_t", "_u")

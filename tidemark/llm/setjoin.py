@@ -45,10 +45,12 @@ def keys_of(r: Column, size: Column) -> Column:
 
 
 def signature(s: Column) -> tuple[Column, Column]:
-    def half(on: int) -> Column:
-        return F.aggregate(s, F.lit(0).cast("long"), lambda a, v: F.when(v.bitwiseAND(F.lit(64)) == on, a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63)).cast("int")))).otherwise(a))
+    seventh = lambda v: F.shiftrightunsigned(v, 6).bitwiseAND(F.lit(1).cast("long"))
 
-    return half(0), half(64)
+    def half(bit) -> Column:
+        return F.aggregate(s, F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(F.call_function("shiftleft", bit(v), v.bitwiseAND(F.lit(63)).cast("int"))))
+
+    return half(seventh), half(lambda v: seventh(v).bitwiseXOR(F.lit(1).cast("long")))
 
 
 def key_rows(classes: DataFrame, *also: str) -> DataFrame:
@@ -74,5 +76,4 @@ def candidates(left: DataFrame, right: DataFrame, also: Column | None = None) ->
 def similar(sets: DataFrame, cand: DataFrame) -> DataFrame:
     """The candidates (a, b) whose sets (cid, s) reach the threshold."""
     both = cand.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return written(both.where(shared * DEN >= (F.size("sa") + F.size("sb") - shared) * NUM).select("a", "b"), "pairs")
+    return written(both.where(F.size(F.array_intersect("sa", "sb")) * (NUM + DEN) >= (F.size("sa") + F.size("sb")) * NUM).select("a", "b"), "pairs")
