@@ -4,11 +4,15 @@ A line is the set of its lower-cased words as hashes of 57 bits, ordered by rari
 bucket out of BUCKETS, a table of bounded size (any order that all lines share is exact). Lines with equal sets form a
 class, held by a hash of 128 bits, and classes are joined by setjoin.py. Sets are not shuffled with the keys: those of
 the few candidates are read again from their documents.
+
+A line goes for one earlier similar line, so not all pairs of a large group of similar lines are needed: each class is
+first compared with the earliest two and the nearest two before it under each of its keys, and only classes that found
+none there, mostly those without any, are compared with all before them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import setjoin
@@ -51,15 +55,14 @@ def _set(line: Column, table: Column) -> Column:
 
 
 def _classes(docs: DataFrame, table: Column, least: int) -> DataFrame:
-    """docs (id, t, text) to (cid, first, size, b1, b2, keys), one row for each set of words."""
+    """docs (id, t, text) to (first, size, b1, b2, keys), one row for each set of words."""
     cut = docs.select("id", "t", F.posexplode(F.split("text", "\n")).alias("n", "l"))
     # The outer forms: Spark infers no filter from them, which would evaluate the sets again.
     sets = cut.select("id", "t", "n", F.explode_outer(F.array(_set(F.col("l"), table))).alias("s")).where(F.size("s") >= least)
     b1, b2 = setjoin.signature(F.col("s"))
     size = F.size("s")
     full = sets.select("id", "t", "n", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), F.col("s")).alias("h2"), size.alias("size"), b1.alias("b1"), b2.alias("b2"), setjoin.keys_of(F.col("s"), size).alias("keys"))
-    got = full.groupBy("h1", "h2").agg(F.min(F.struct("id", "t", "n")).alias("first"), *[F.first(c).alias(c) for c in ("size", "b1", "b2", "keys")])
-    return got.select(F.monotonically_increasing_id().alias("cid"), "first", "size", "b1", "b2", "keys")
+    return full.groupBy("h1", "h2").agg(F.min(F.struct("id", "t", "n")).alias("first"), *[F.first(c).alias(c) for c in ("size", "b1", "b2", "keys")]).drop("h1", "h2")
 
 
 def _sets_of(docs: DataFrame, firsts: DataFrame, table: Column) -> DataFrame:
@@ -74,32 +77,43 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with text_col less its repeated lines, and n_lines, n_removed and n_links as new columns.
 
     A line goes if a line before it (smaller id, or same id and higher up) has a similarity of 0.8 or more, both
-    judged on the input. Lines of fewer than least different words stay, so with 1 only blank ones. n_links counts a
-    document's leading lines' similar classes. Null and empty texts stay as they are. Rows equal in id and text are
-    one document and fare alike; rows with one id but different texts are told apart, in the order of a hash of the text;
-    rows with a null id come first. Other columns pass through; those named like new ones are replaced."""
+    judged on the input. Lines of fewer than least different words stay, so with 1 only blank ones. n_similar counts
+    those that go for a similar line although no line before them has the same words. Null and empty texts stay as they
+    are. Rows equal in id and text are one document and fare alike; rows with one id but different texts are told apart, in
+    the order of a hash of the text; rows with a null id come first. Other columns pass through; those named like new
+    ones are replaced."""
+    spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.coalesce(text_col, F.lit("")).alias("text"))
     table = _rarity(docs, text_col)
-    classes = written(_classes(src, table, least), "classes")
-    release(classes.sparkSession)
-    keys = setjoin.key_rows(classes)
-    cand = written(setjoin.candidates(keys, keys), "candidates")
-    release(classes.sparkSession)
+    found = written(_classes(src, table, least), "found")
+    release(spark)
+    # Numbers in the order of the first lines.
+    classes = written(found.sort("first").select(F.monotonically_increasing_id().alias("cid"), "*"), "classes")
+    discard(found)
+    release(spark)
     firsts = classes.select("cid", "first")
-    met = cand.select(F.col("a").alias("cid")).unionByName(cand.select(F.col("b").alias("cid"))).distinct()
-    sets = _sets_of(src, firsts.join(met, "cid"), table)
-    pairs = setjoin.similar(sets, cand)
-    discard(sets)
-    discard(cand)
-    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    ranked = ends.join(firsts.withColumnRenamed("cid", "b"), "b").groupBy("a").agg(F.min("first").alias("other"), F.count("*").alias("links"))
-    led = firsts.join(ranked.withColumnRenamed("a", "cid"), "cid", "left").where(F.col("other").isNull() | (F.col("first") <= F.col("other")))
-    kept = led.select("first.id", "first.t", "first.n", F.coalesce("links", F.lit(0)).alias("links")).groupBy("id", "t").agg(F.collect_list("n").alias("_kept"), F.sum("links").alias("n_links"))
-    kept = written(kept.withColumnsRenamed({"id": "_id", "t": "_t"}), "kept")
+    keys = setjoin.key_rows(classes)
+
+    def verified(cand: DataFrame) -> DataFrame:
+        """The classes b of the candidates (a, b) that are similar to their a."""
+        cand = written(cand, "candidates")
+        release(spark)
+        met = cand.select(F.col("a").alias("cid")).unionByName(cand.select(F.col("b").alias("cid"))).distinct()
+        sets = _sets_of(src, firsts.join(met, "cid"), table)
+        out = written(setjoin.similar(sets, cand).select(F.col("b").alias("gone")).distinct(), "gone")
+        discard(sets)
+        discard(cand)
+        return out
+
+    near = verified(setjoin.hub_candidates(keys))
+    marked = keys.join(near, F.col("cid") == F.col("gone"), "left").withColumn("gone", F.col("gone").isNotNull())
+    rest = verified(setjoin.candidates(marked, marked, ~F.col("y.gone") | (F.col("x.gone") & (F.col("x.cid") < 0))))
+    led = firsts.join(near.unionByName(rest), F.col("cid") == F.col("gone"), "left").withColumn("gone", F.col("gone").isNotNull())
+    kept = led.groupBy(F.col("first.id").alias("_id"), F.col("first.t").alias("_t")).agg(F.collect_list(F.when(~F.col("gone"), F.col("first.n"))).alias("_kept"), F.count_if("gone").alias("n_similar"))
+    kept = written(kept, "kept")
     discard(classes)
-    discard(pairs)
-    release(docs.sparkSession)
-    df = docs.drop("n_lines", "n_removed", "n_links").withColumn("_t", F.xxhash64(text_col)).withColumn("_lines", F.split(text_col, "\n"))
+    release(spark)
+    df = docs.drop("n_lines", "n_removed", "n_similar").withColumn("_t", F.xxhash64(text_col)).withColumn("_lines", F.split(text_col, "\n"))
     df = df.join(kept.withColumnRenamed("_t", "_u"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_u")), "left")
     # Kept places are looked up by number: one text may have very many lines.
     short = lambda l: F.size(F.array_distinct(_words(l))) < least if least > 1 else ~l.rlike(r"[^\x20\x09-\x0D]")
@@ -110,5 +124,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         text_col: F.when(F.col(text_col).isNotNull(), F.array_join("_left", "\n")),
         "n_lines": F.greatest(F.coalesce(F.size("_lines"), F.lit(0)), F.lit(0)).cast("long"),
         "n_removed": F.coalesce(F.size("_lines") - F.size("_left"), F.lit(0)).cast("long"),
-        "n_links": F.coalesce("n_links", F.lit(0)).cast("long"),
+        "n_similar": F.coalesce("n_similar", F.lit(0)).cast("long"),
     }).drop("_kept", "_left", "_lines", "_stay", "_id", "_t", "_u")

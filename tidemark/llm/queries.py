@@ -38,7 +38,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document; kept_sha256 is that of the text less its repeated lines."""
     done = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least=1)
-    return done.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2("text", 256).alias("kept_sha256"))
+    return done.select("doc_id", "n_lines", "n_removed", "n_similar", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

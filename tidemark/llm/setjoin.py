@@ -10,7 +10,7 @@ two sets differ in at least as many numbers as their signatures in bits. Only wh
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -58,19 +58,35 @@ def key_rows(classes: DataFrame, *also: str) -> DataFrame:
     return classes.select("cid", "size", "b1", "b2", *also, F.explode("keys").alias("k")).select("k.key", "k.pos", "cid", "size", "b1", "b2", *also)
 
 
+def _close(x: str, y: str) -> Column:
+    """Whether the key rows with prefixes x and y can be similar."""
+    c = lambda p, n: F.col(p + n)
+    need = F.ceil((c(x, "size") + c(y, "size")) * NUM / (NUM + DEN))
+    bound = F.least(c(x, "pos"), c(y, "pos")) + F.least(c(x, "size") - c(x, "pos"), c(y, "size") - c(y, "pos"))
+    fits = (c(x, "size") * DEN >= c(y, "size") * NUM) & (c(y, "size") * DEN >= c(x, "size") * NUM)
+    apart = F.bit_count(c(x, "b1").bitwiseXOR(c(y, "b1"))) + F.bit_count(c(x, "b2").bitwiseXOR(c(y, "b2")))
+    return fits & (bound >= need) & (apart <= c(x, "size") + c(y, "size") - 2 * need)
+
+
 def candidates(left: DataFrame, right: DataFrame, also: Column | None = None) -> DataFrame:
-    """(a, b) with a < b, distinct: classes that share a key of left and right (aliased x and y) and pass the filters."""
-    x, y = left.alias("x"), right.alias("y")
-    need = F.ceil((F.col("x.size") + F.col("y.size")) * NUM / (NUM + DEN))
-    bound = F.least("x.pos", "y.pos") + F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
-    fits = (F.col("x.size") * DEN >= F.col("y.size") * NUM) & (F.col("y.size") * DEN >= F.col("x.size") * NUM)
-    apart = F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1"))) + F.bit_count(F.col("x.b2").bitwiseXOR(F.col("y.b2")))
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") != F.col("y.cid")) & fits & (bound >= need) & (apart <= F.col("x.size") + F.col("y.size") - 2 * need)
-    if left is right:
-        on = on & (F.col("x.cid") < F.col("y.cid"))
+    """(a, b) with a < b, distinct: classes that share a key of left and right (aliased x and y) and pass the filters;
+    where left and right are one table, a comes from x."""
+    order = F.col("x.cid") < F.col("y.cid") if left is right else F.col("x.cid") != F.col("y.cid")
+    on = (F.col("x.key") == F.col("y.key")) & order & _close("x.", "y.")
     if also is not None:
         on = on & also
-    return x.join(y, on).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
+    return left.alias("x").join(right.alias("y"), on).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
+
+
+def hub_candidates(keys: DataFrame) -> DataFrame:
+    """Like candidates(), but of the classes before it each is compared under a key with the first two and the last
+    two alone: a row for each of these per key at most."""
+    w = Window.partitionBy("key").orderBy("cid")
+    row = F.struct("cid", "size", "pos", "b1", "b2")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    hubs = F.array(F.first(row).over(before), F.nth_value(row, 2).over(before), F.lag(row, 1).over(w), F.lag(row, 2).over(w))
+    tried = keys.select("cid", "size", "pos", "b1", "b2", hubs.alias("hubs")).select("*", F.explode("hubs").alias("h"))
+    return tried.where((F.col("h.cid") < F.col("cid")) & _close("h.", "")).select(F.col("h.cid").alias("a"), F.col("cid").alias("b")).distinct()
 
 
 def similar(sets: DataFrame, cand: DataFrame) -> DataFrame:
