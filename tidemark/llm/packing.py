@@ -12,6 +12,7 @@ characters that its normalizer or word pattern treats in ways not followed here
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 import zlib
@@ -30,7 +31,7 @@ END_ID = 1
 FULL = 0.999  # a bin this full leaves the tree at once
 FAN_IN = 8
 LAST_ROWS = 500_000
-CACHE = 1_000_000
+CACHE = 300_000
 #: Characters outside of these are left to the tokenizer itself: so are strings of its special tokens.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\u012f\u0131-\u017f‘’“”–—…€]|<\\|")
 #: Words of the tokenizer's pre-tokenizer, in lower-case texts without such: letters, contractions, single digits, all
@@ -86,6 +87,12 @@ class Encoder:
             self.learn(new[a : a + 20_000])
 
 
+@functools.lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """One per worker process, which serves one task after the other: neither the file nor known words are read again."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece. tokenizer is the file's path on the executors; None asks the installed tokenizer package.
     A null text is empty: its piece is the end id alone. Repeated rows are packed each; a null id is kept as it is."""
@@ -94,7 +101,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encoder = Encoder(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+        encoder = _encoder(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
         end = np.array([END_ID], "<u4").tobytes()
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
