@@ -1,6 +1,8 @@
+import math
 import re
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,11 +111,36 @@ def test_mixing_beats_uniform_and_keeps_base(docs):
 
 def test_toxicity_held_out(docs, spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
-    train = docs.select("doc_id", "text").join(labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1), "doc_id")
-    got = toxicity.score(docs, *toxicity.fit(train)).toPandas()
+    got = toxicity.score(docs, toxicity.fit(docs, labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))).toPandas()
     assert got.score.between(0, 1).all() and len(got) == docs.count()
 
 
+def test_toxicity_neighbours_against_brute_force(docs, spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
+    ix = toxicity.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+
+    def vector(text):
+        v = {}
+        for t, n in toxicity._counts(text).items():
+            v[t] = (1 + math.log(n)) * (ix.weight[ix.number[t]] if t in ix.number else ix.unseen)
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()} if norm else {}
+
+    known = [vector(texts[i]) for i in ix.names]
+    for text in [*list(texts.values())[:60], None, "", "only words unseen before: zzzyq"]:
+        q = vector(text)
+        want = sorted(((sum(x * v.get(t, 0) for t, x in q.items()), -d) for d, v in enumerate(known)), key=lambda p: (-round(p[0], 9), -p[1]))
+        want = [c for c, _ in want if c > 0][: toxicity.K]
+        best, cosine = ix.nearest(toxicity._counts(text))
+        assert np.allclose(cosine, want) and len(best) == len(want)
+
+
+def test_toxicity_without_labels(odd, spark):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {round(r["score"], 6) for r in toxicity.score(odd, toxicity.fit(odd, none)).collect()} == {round(1 / (1 + math.exp(-(6 * 0.1 - 3))), 6)}
+
+
 @pytest.mark.parametrize("empty", [True, False])
 def test_odd_and_empty_tables(odd, empty, spark):
     d = odd.limit(0) if empty else odd

@@ -81,8 +81,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = lambda: F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     labels = table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", "toxic")
-    index, names = toxicity.fit(docs.join(labels, "doc_id"))
-    got = toxicity.score(docs, index, names).withColumnRenamed("id", "doc_id")
+    got = toxicity.score(docs, toxicity.fit(docs, labels)).withColumnRenamed("id", "doc_id")
     return got.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
 
 

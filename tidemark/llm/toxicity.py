@@ -1,8 +1,11 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted lists.
 
-Terms are those whose document counts differ between the labels (chi-squared over all labelled rows). Examples are
-held in blocks; a block's largest weight per term bounds its cosines, and blocks are read by falling bound until none
-can hold a nearer example. Votes weighted by cosine are calibrated by a logistic curve fitted on leave-one-out votes.
+The classifier is fitted on at most EXAMPLES labelled rows, those with the smallest hash of their id; of these every
+term counts. A term's weight is its inverse document frequency times its relevance, FLOOR plus the square of its
+chi-squared against the label over CHI2, at most 1: without it the many topical words of a text drown the few that tell.
+Examples lie in blocks, toxic ones first; a block's largest weight per term bounds its cosines, and only blocks whose
+bound reaches the K-th best cosine are read. Votes weighted by squared cosine are calibrated by a logistic curve fitted
+to the leave-one-out votes of all examples, which Spark computes like any other score.
 """
 
 from __future__ import annotations
@@ -16,115 +19,164 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TERMS = 2000  # most terms kept, by chi-squared
-CHI2 = 20.0
-EXAMPLES = 20_000  # most labelled rows held as examples, by hash of their id
+EXAMPLES = 4096  # most labelled rows held: the bound of everything that is collected or broadcast here
+FLOOR, CHI2 = 0.005, 200.0
 BLOCK = 64
+FIRST_BLOCKS = 4
 K = 15
 _TERM = re.compile(r"[a-zß-ɏ]+")
 
 
-def _terms(text: str | None) -> list[str]:
-    return _TERM.findall((text or "").lower())
+def _counts(text: str | None) -> Counter:
+    return Counter(_TERM.findall((text or "").lower()))
 
 
 class Index:
-    def __init__(self, terms: list[str], idf: np.ndarray, counts: list[dict[int, int]], labels: list[int]):
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.idf, self.labels = idf, np.array(labels, float)
-        vectors = [self.weigh(c) for c in counts]
-        self.postings: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        self.most = np.zeros((len(terms), -(-len(vectors) // BLOCK)))
-        for d, v in enumerate(vectors):
-            for t, x in v.items():
-                self.postings.setdefault((d // BLOCK, t), []).append((d, x))
-                self.most[t, d // BLOCK] = max(self.most[t, d // BLOCK], x)
-        self.vectors = vectors
-        empty = [y for v, y in zip(vectors, labels, strict=True) if not v]
-        self.empty = (sum(empty) + 0.5) / (len(empty) + 5)
+    """names, labels and terms of examples: term i of which occurs n[i] times in example d[i], d not falling."""
+
+    def __init__(self, names: list, labels: np.ndarray, terms: list[str], d: np.ndarray, n: np.ndarray):
+        order = np.argsort(-labels, kind="stable")  # toxic examples first, so that blocks hold one label
+        self.names, self.labels = [names[i] for i in order], labels[order].astype(float)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        m, pos = len(labels), float(labels.sum())
+        self.number = {t: i for i, t in enumerate(dict.fromkeys(terms))}
+        t, d = np.fromiter(map(self.number.__getitem__, terms), np.int64, len(terms)), place[d]
+        v = len(self.number)
+        c, a = np.bincount(t, minlength=v).astype(float), np.bincount(t, weights=self.labels[d], minlength=v)
+        gap = a * m - c * pos
+        chi2 = gap * gap * m / (c * (m - c) * pos * (m - pos) + 1e-9)
+        self.weight = np.log((m + 1) / (c + 0.5)) * (FLOOR + np.minimum(1, (chi2 / CHI2) ** 2))
+        self.unseen = np.log((m + 1) / 0.5) * FLOOR
+        x = (1 + np.log(n)) * self.weight[t]
+        x /= np.sqrt(np.bincount(d, weights=x * x, minlength=m))[d]
+        o = np.lexsort((d, t))
+        self.example, self.x, t = d[o], x[o], t[o]
+        # An entry is a run of one term's postings in one block.
+        block = self.example // BLOCK
+        head = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (block[1:] != block[:-1])])) if len(t) else np.empty(0, np.int64)
+        self.entry_at, self.entry_block = np.append(head, len(t)), block[head]
+        self.entry_most = np.maximum.reduceat(self.x, head) if len(head) else np.empty(0)
+        self.term_at = np.searchsorted(t[head], np.arange(v + 1))
+        self.blocks = -(-m // BLOCK)
+        self.rate = (pos + 0.5) / (m + 5)
         self.a, self.b = 6.0, -3.0
-        self.fit()
-
-    def weigh(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + np.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = sum(x * x for x in v.values()) ** 0.5
-        return {t: x / norm for t, x in v.items()} if norm else {}
-
-    def nearest(self, q: dict[int, float], skip: int = -1) -> list[tuple[float, int]]:
-        """The K nearest (cosine, example), ties by the smaller number."""
-        if not q or not self.most.size:
-            return []
-        ts, xs = np.array(list(q)), np.array(list(q.values()))
-        bound = xs @ self.most[ts]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == K and bound[b] < best[-1][0] - 1e-12:
-                break
-            got: dict[int, float] = {}
-            for t, x in q.items():
-                for d, y in self.postings.get((int(b), t), ()):
-                    got[d] = got.get(d, 0.0) + x * y
-            best = sorted([*best, *((s, d) for d, s in got.items() if d != skip)], key=lambda p: (-round(p[0], 12), p[1]))[:K]
-        return best
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        w = np.array([s for s, _ in near]) ** 2
-        return float((w @ self.labels[[d for _, d in near]] + 1e-3 * self.empty) / (w.sum() + 1e-3))
-
-    def fit(self) -> None:
-        pairs = [(self.vote(self.nearest(v, d)), self.labels[d]) for d, v in enumerate(self.vectors[:4000]) if v]
-        if len({y for _, y in pairs}) < 2:
-            return
-        x, y = np.array(pairs).T
-        for _ in range(2000):
-            e = y - 1 / (1 + np.exp(-(self.a * x + self.b)))
-            self.a += 2.0 * ((e * x).mean() - 1e-4 * self.a)
-            self.b += 2.0 * e.mean()
-
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        near = self.nearest(self.weigh(counts))
-        if not near:
-            return self.empty, []
-        return float(1 / (1 + np.exp(-(self.a * self.vote(near) + self.b)))), [d for _, d in near[:3]]
-
-
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> tuple[Index, list]:
-    """The index from rows (doc_id, text, label); null labels are left out. Counts are over all rows; examples are
-    bounded by EXAMPLES, and only their counts of kept terms reach the driver."""
-    rows = labelled.where(F.col(label_col).isNotNull()).select("doc_id", F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"))
-    total = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    n, pos = total[0], total[1]
-    term = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-zß-ɏ]+)"), 1))
-    df = rows.select(F.explode(term).alias("t"), "y").groupBy("t").agg(F.count("*").alias("c"), F.sum("y").alias("p"))
-    a, c = F.col("p").cast("double"), F.col("c").cast("double")
-    gap = a * n - c * pos
-    df = df.withColumn("x", gap * gap * n / (c * (n - c) * float(pos) * float(n - pos) + 1e-9)).where((F.col("c") > 2) & (F.col("x") >= CHI2))
-    kept = df.orderBy(F.desc("x"), "t").limit(TERMS).collect()
-    terms, idf = [r["t"] for r in kept], np.array([np.log((n + 1) / (r["c"] + 0.5)) for r in kept])
-    number = {t: i for i, t in enumerate(terms)}
-    picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
-
-    def count(batches):
-        for b in batches:
-            got = [Counter(number[t] for t in _terms(x) if t in number) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(g) for g in got], pa.list_(pa.int64())), pa.array([list(g.values()) for g in got], pa.list_(pa.int64()))], ["doc_id", "y", "t", "n"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    held = picked.mapInArrow(count, f"doc_id {kind}, y int, t array<long>, n array<long>").collect()
-    return Index(terms, idf, [dict(zip(r["t"], r["n"], strict=True)) for r in held], [r["y"] for r in held]), [r["doc_id"] for r in held]
-
 
-def score(docs: DataFrame, index: Index, names: list, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, evidence): evidence is the ids of the nearest examples. A text without kept terms, such as an
-    empty or null one, gets the smoothed rate of toxic examples without them."""
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = src.schema["id"].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(index)
+    def weigh(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the known terms and their weights; unknown terms count in the length of the vector."""
+        get = self.number.get
+        t = np.fromiter((get(w, -1) for w in counts), np.int64, len(counts))
+        x = 1 + np.log(np.fromiter(counts.values(), float, len(counts)))
+        x *= np.where(t >= 0, self.weight[np.maximum(t, 0)] if len(self.weight) else 0.0, self.unseen)
+        norm = np.sqrt((x * x).sum())
+        known = t >= 0
+        return t[known], x[known] / norm if norm else x[known]
+
+    def nearest(self, counts: Counter, skip=None) -> tuple[np.ndarray, np.ndarray]:
+        """The K nearest examples and their cosines, ties by the smaller number; none of cosine 0, nor that named skip."""
+        t, x = self.weigh(counts)
+        lo, hi = self.term_at[t], self.term_at[t + 1]
+        size = hi - lo
+        entry = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+        weight, block = np.repeat(x, size), self.entry_block[entry]
+        bound = np.bincount(block, weights=weight * self.entry_most[entry], minlength=self.blocks)
+        best, cosine = np.empty(0, np.int64), np.empty(0)
+        left = np.argsort(-bound, kind="stable")
+        left = left[bound[left] > 0]
+        step = FIRST_BLOCKS
+        while len(left):
+            take, left = left[:step], left[step:]
+            chosen = np.zeros(self.blocks, bool)
+            chosen[take] = True
+            e = chosen[block]
+            at, w = self.entry_at[entry[e]], weight[e]
+            n = self.entry_at[entry[e] + 1] - at
+            p = np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())
+            sums = np.bincount(self.example[p], weights=np.repeat(w, n) * self.x[p], minlength=len(self.labels))
+            new = np.flatnonzero(sums)
+            if skip is not None:
+                new = new[[self.names[i] != skip for i in new]]
+            best, cosine = np.concatenate([best, new]), np.concatenate([cosine, sums[new]])
+            o = np.lexsort((best, -np.round(cosine, 12)))[:K]
+            best, cosine = best[o], cosine[o]
+            if len(best) == K:
+                left = left[bound[left] >= cosine[-1] - 1e-9]
+            step *= 2
+        return best, cosine
+
+    def vote(self, counts: Counter, skip=None) -> tuple[float, np.ndarray]:
+        best, cosine = self.nearest(counts, skip)
+        w = cosine**2
+        return float((w @ self.labels[best] + 1e-3 * self.rate) / (w.sum() + 1e-3)), best
+
+    def score(self, vote):
+        return 1 / (1 + np.exp(-(self.a * vote + self.b)))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, a: float, b: float) -> tuple[float, float]:
+    """Newton steps of a logistic curve with a small penalty on its slope."""
+    z = np.stack([x, np.ones_like(x)], 1)
+    w = np.array([a, b])
+    ridge = np.diag([1e-4 * len(x), 1e-9])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-z @ w))
+        step = np.linalg.solve(z.T @ (z * (p * (1 - p) + 1e-9)[:, None]) + ridge, z.T @ (y - p) - ridge @ w)
+        w = w + np.clip(step, -2, 2)
+    return float(w[0]), float(w[1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES) -> Index:
+    """The index from docs (id, text) and labels (id, label 0 or 1); rows without id or label are left out. Ids are
+    chosen from the labels alone, so that no other text moves. Repeated rows are examples each; without rows of both labels
+    the curve stays as it is set, and without any every text gets the same score."""
+    rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("_id IS NOT NULL AND y IN (0, 1)")
+    picked = rows.orderBy(F.xxhash64("_id"), "_id", "y").limit(examples)
+    held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), F.col("id") == F.col("_id"))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [_counts(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(g) for g in got], pa.list_(pa.string())), pa.array([list(g.values()) for g in got], pa.list_(pa.int64()))], ["id", "y", "t", "n"])
+
+    got = held.select("id", "text", "y").mapInArrow(count, f"id {kind}, y int, t array<string>, n array<long>").sort("id", "y", F.hash("t")).limit(examples).toArrow()
+    t, n = got["t"].combine_chunks(), got["n"].combine_chunks()
+    size = np.array([len(x) for x in t], np.int64)
+    index = Index(got["id"].to_pylist(), got["y"].to_numpy(), t.flatten().to_pylist(), np.repeat(np.arange(len(size)), size), n.flatten().to_numpy(zero_copy_only=False).astype(float))
+    out = _votes(held.select("id", "text", "y"), index, True).toArrow()
+    x, y = out["vote"].to_numpy(), out["y"].to_numpy()
+    if len(np.unique(y)) == 2:
+        index.a, index.b = _logistic(x, y.astype(float), index.a, index.b)
+    return index
+
+
+def _votes(rows: DataFrame, index: Index, leave_out: bool) -> DataFrame:
+    """rows (id, text, ...) to those columns but text, vote and evidence. With leave_out an example of the row's id
+    does not vote."""
+    spark = rows.sparkSession
+    held = spark.sparkContext.broadcast(index)
+    keep = [c for c in rows.columns if c != "text"]
+    place = rows.columns.index("text")
+    id_type = rows.schema["id"].dataType.simpleString()
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = held.value
-        for b in batches:
-            got = [ix.score(Counter(ix.number[t] for t in _terms(x) if t in ix.number)) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in got]), pa.array([[names[d] for d in e] for _, e in got], pa.list_(b.schema.field(0).type))], ["id", "score", "evidence"])
-
-    return src.mapInArrow(run, f"id {kind}, score double, evidence array<{kind}>")
+        for whole in batches:
+            for a in range(0, whole.num_rows, 512):
+                b = whole.slice(a, 512)
+                ids = b.column(b.schema.get_field_index("id")).to_pylist() if leave_out else [None] * b.num_rows
+                got = [ix.vote(_counts(x), i) for x, i in zip(b.column(place).to_pylist(), ids, strict=True)]
+                own = [c for j, c in enumerate(b.columns) if j != place]
+                named = pa.array([[ix.names[j] for j in e[:3]] for _, e in got], pa.list_(b.schema.field("id").type))
+                yield pa.RecordBatch.from_arrays([*own, pa.array([v for v, _ in got], pa.float64()), named], [*keep, "vote", "evidence"])
+
+    return rows.mapInArrow(run, f"{kinds}, vote double, evidence array<{id_type}>")
+
+
+def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score, evidence): evidence is the ids of the nearest three examples. A text without terms of the examples, such
+    as an empty or null one, has no neighbour and gets the score of the examples' rate. Every row is scored by itself:
+    repeated rows and null ids are kept; other columns are left out."""
+    got = _votes(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), index, False)
+    return got.select("id", (1 / (1 + F.exp(-(F.lit(index.a) * F.col("vote") + F.lit(index.b))))).alias("score"), "evidence")
