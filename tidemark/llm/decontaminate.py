@@ -20,6 +20,8 @@ MIN_LITERALS = 3
 MIN_WINDOWS = 4
 MIN_SHARE = 50  # per cent of an item's windows that suffices below MIN_WINDOWS
 BROADCAST_ROWS = 2_000_000
+#: Characters taken off both ends of a word. Fixed values.
+PUNCTUATION = "!\"#$&'()*+,-./:;<=>?@[\\]^_`{|}~“”„‟‘’‚‛«»‹›–—―…·•¿¡§¶†‡°′″"
 #: Marks of slots, their ends and of the next word; _NAME begins a name.
 _NEXT, _SLOT, _END = "\x01", "\x02", "\x04"
 _NAME = f"<p>{_SLOT}"
@@ -31,7 +33,7 @@ def _sequences(df: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame
     """(out, x, r): x has the words of each text, a run of names as one, with their template hash k (of the lower-case
     word or its placeholder), whether they are a slot, and the hashed value v; r has the hashes of the lower-case words
     alone. Cheap comparisons stand before each pattern, since this sees every word."""
-    bare = F.transform("w", lambda x: F.regexp_replace(x, r"^[^\p{L}\p{N}%]+|[^\p{L}\p{N}%]+$", ""))
+    bare = F.transform("w", lambda x: F.btrim(x, F.lit(PUNCTUATION)))
     df = df.select(F.col(id_col).alias(out), words(F.col(text_col)).alias("w")).withColumn("b", bare)
     w, b = F.col("w"), F.col("b")
     number = lambda x: (x >= "0") & (x < ":") & x.rlike(r"^[0-9][0-9.,]*%?$")
