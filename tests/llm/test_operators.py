@@ -94,6 +94,7 @@ def test_pii_checksums_and_context():
     kinds = lambda t: [s[0] for s in pii.find(t)[0]]
     assert kinds("card 4111 1111 1111 1111") == ["card"] and kinds("card 4111 1111 1111 1112") == []
     assert kinds("IBAN DE89 3704 0044 0532 0130 00") == ["iban"] and "iban" not in kinds("IBAN DE88 3704 0044 0532 0130 00")
+    assert kinds("IBAN BE68 5390 0754 7034 PAID") == ["iban"] and kinds("IBAN BE68 5390 0754 7034 12") == ["iban"]
     assert kinds("ssn 123-45-6789") == ["national_id"] and kinds("part 123-45-6789") == []
 
 
@@ -219,3 +220,54 @@ def test_decontamination_finds_capitals_altered_copies_long_names_and_short_item
     ]
     got = {r["doc_id"]: r["item_ids"] for r in decontaminate.flag(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert got == {1: [1], 2: [1], 3: [3], 4: [2], 5: []}
+
+
+def test_packing_ids_against_whole_texts(docs, spark):
+    """Pieces, starts, lengths and checksums are those of the tokenizer's ids of whole texts."""
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    made = ["It's we'll 'so ''s _a_b 12'34 ÀÉ Straße", "é'S DON'T", "İstanbul Σας ΣΑΣ", "x²y ½ ª ﬁ", "日本語 <|endoftext|> text", "a\x85b\x1cb …---", "", None, "word " * 9000]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(made)], "doc_id long, text string"))
+    want = set()
+    for r in both.collect():
+        ids = np.array([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4")
+        want |= {(r["doc_id"], k, s, len(ids[s : s + 4096]), zlib.crc32(ids[s : s + 4096].tobytes())) for k, s in enumerate(range(0, len(ids), 4096))}
+    got = [tuple(r) for r in packing.pieces(both).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_mixing_base_against_brute_force(docs):
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    rows = [(r["doc_id"], [*WORD.findall((r["text"] or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))), None], r["h"]) for r in docs.withColumn("h", held).collect()]
+    c = {}
+    for _, w, h in rows:
+        for x in w if not h else ():
+            c[x] = c.get(x, 0) + 1
+    n, v = sum(c.values()), len(c)
+    got = {r["id"]: r for r in mixing.score(docs, held).collect()}
+    for i, w, h in rows:
+        r = got[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (h, len(w), sum(x in c for x in w), n)
+        assert math.isclose(r["base_score"], sum(math.log10((c.get(x, 0) + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
+
+
+def test_null_and_repeated_ids_are_rows_of_their_own(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    d = spark.createDataFrame([(None, text), (None, "other " + text), (5, text), (5, text), (5, "five words stand here alone")], "doc_id long, text string")
+    kept = sorted((r["id"] is None, r["n_words"], r["n_removed"]) for r in substrings.remove_repeats(d).collect())
+    assert len(kept) == 5 and kept[:3] == [(False, 5, 0), (False, 40, 40), (False, 40, 40)] and sum(k[2] == 40 for k in kept[3:]) == 1
+    assert mixing.score(d, F.lit(False)).count() == 5 and lines.dedup_lines(d, least=1).count() == 5
+    assert simhash.groups(d).count() == 5 and packing.pack_documents(d).count() == 5
+
+
+def test_stages_keep_columns_named_like_new_ones(spark):
+    import corpus_pipeline
+
+    text = "the cat and the dog walk to the house of a friend and then they go home"
+    d = spark.createDataFrame([(1, text, "KEEP", 7)], "doc_id long, text string, kept string, n_lines int")
+    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.line_dedup, corpus_pipeline.near_dedup, corpus_pipeline.benchmark_decontamination):
+        assert [tuple(r) for r in stage(spark, d, SF).collect()] == [(1, text, "KEEP", 7)]

@@ -95,7 +95,14 @@ def score(text: str, kind: str, start: int) -> float:
 
 
 def added_spans(text: str) -> list[tuple[str, int, int]]:
-    out = [("iban", m.start(), m.end()) for m in _IBAN.finditer(text) if mod97(m[0])]
+    out = []
+    for m in _IBAN.finditer(text):
+        found = m[0]
+        # The pattern may have taken in words after the number: they go one by one until the checksum holds.
+        while not mod97(found) and " " in found:
+            found = found.rsplit(" ", 1)[0]
+        if mod97(found):
+            out.append(("iban", m.start(), m.start() + len(found)))
     if "-" in text:
         for m in _NATIONAL.finditer(text):
             area, group, serial = m[0].split("-")
