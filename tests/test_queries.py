@@ -28,3 +28,20 @@ def test_asof_gate_and_ties(spark):
     spine = spark.sql("SELECT 1 AS k, TIMESTAMP_NTZ '2024-01-01 10:00:00' AS t UNION ALL SELECT 1, TIMESTAMP_NTZ '2024-01-01 09:59:59' UNION ALL SELECT 2, TIMESTAMP_NTZ '2024-01-01 10:00:00'")
     got = {(r["k"], r["t"].second): r["v"] for r in asof_join(spine, rows, "k", "id", ["v"]).collect()}
     assert got == {(1, 0): "bound", (1, 59): None, (2, 0): None}
+
+
+def test_asof_lets_no_row_without_times_or_key_through(spark):
+    from tidemark.operators.asof import asof_join
+
+    rows = spark.sql("""SELECT * FROM VALUES (1, 10L, TIMESTAMP_NTZ '2024-01-01 10:00:00', CAST(NULL AS TIMESTAMP_NTZ), 'unknown'),
+        (2, 11L, CAST(NULL AS TIMESTAMP_NTZ), TIMESTAMP_NTZ '2024-01-01 09:00:00', 'unknown'),
+        (CAST(NULL AS INT), 12L, TIMESTAMP_NTZ '2024-01-01 09:00:00', TIMESTAMP_NTZ '2024-01-01 09:00:00', 'no key') AS r(k, id, event_ts, ingested_at, v)""")
+    spine = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP_NTZ '2024-01-02 00:00:00'), (2, TIMESTAMP_NTZ '2024-01-02 00:00:00'), (CAST(NULL AS INT), TIMESTAMP_NTZ '2024-01-02 00:00:00') AS s(k, t)")
+    assert [r["v"] for r in asof_join(spine, rows, "k", "id", ["v"]).collect()] == [None] * 3
+
+
+def test_calibration_averages_clamped_probabilities(spark):
+    from tidemark.operators.scoring import calibration
+
+    got = {r["bin"]: r["mean_p"] for r in calibration(spark.createDataFrame([(1.5, 1.0), (0.95, 1.0), (-0.5, 0.0)], "p double, y double")).collect()}
+    assert abs(got[9] - 0.975) < 1e-12 and got[0] == 0.0

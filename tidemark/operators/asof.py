@@ -15,7 +15,9 @@ def asof_join(spine: DataFrame, rows: DataFrame, key: str, id_col: str, payload:
     """spine (key, t) with the latest row of its key by (event_ts, ingested_at, id) that the gate lets through.
 
     Both gates hold from max(event_ts, ingested_at - epsilon) on, so one sort per key by that time and a running
-    maximum answer every t: one shuffle, and no pairs of spine and rows."""
+    maximum answer every t: one shuffle, and no pairs of spine and rows. Rows without key or either time are never let
+    through; a spine row without key finds none."""
+    rows = rows.where(F.col(key).isNotNull() & F.col("event_ts").isNotNull() & F.col("ingested_at").isNotNull())
     since = F.greatest("event_ts", F.col("ingested_at") - F.expr(f"INTERVAL {epsilon_seconds} SECONDS"))
     right = rows.select(F.col(key), since.alias("t"), F.lit(0).alias("side"), F.struct("event_ts", "ingested_at", id_col, *payload).alias("row"))
     left = spine.select(F.col(key), "t", F.lit(1).alias("side"), F.lit(None).cast(right.schema["row"].dataType).alias("row"))

@@ -9,9 +9,9 @@ EPSILON = 1e-6
 
 
 def calibration(rows: DataFrame, bins: int = 10) -> DataFrame:
-    """All bins, empty ones with zeros, of (p, y): mean p, mean y and count. The last bin holds p = 1."""
+    """All bins, empty ones with zeros, of (p, y): mean p (held to 0..1), mean y and count. The last bin holds p = 1."""
     p = F.least(F.greatest("p", F.lit(0.0)), F.lit(1.0))
-    got = rows.groupBy(F.least(F.floor(p * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.avg("p").alias("mean_p"), F.avg("y").alias("mean_y"), F.count("*").alias("n"))
+    got = rows.groupBy(F.least(F.floor(p * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.avg(p).alias("mean_p"), F.avg("y").alias("mean_y"), F.count("*").alias("n"))
     return rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(got, "bin", "left").na.fill(0)
 
 
