@@ -7,7 +7,7 @@ the few candidates are read again from their documents.
 
 A line goes for one earlier similar line, so not all pairs of a large group of similar lines are needed: each class is
 first compared with the earliest two and the nearest two before it under each of its keys, and only classes that found
-none there, mostly those without any, are compared with all before them.
+none there are compared with all before them, and this only under keys of more classes.
 """
 
 from __future__ import annotations
@@ -92,7 +92,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     discard(found)
     release(spark)
     firsts = classes.select("cid", "first")
-    keys = setjoin.key_rows(classes)
+    shared = written(setjoin.shared_keys(setjoin.key_rows(classes)), "shared")
+    release(spark)
 
     def verified(cand: DataFrame) -> DataFrame:
         """The classes b of the candidates (a, b) that are similar to their a."""
@@ -105,9 +106,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         discard(cand)
         return out
 
-    near = verified(setjoin.hub_candidates(keys))
-    marked = keys.join(near, F.col("cid") == F.col("gone"), "left").withColumn("gone", F.col("gone").isNotNull())
-    rest = verified(setjoin.candidates(marked, marked, ~F.col("y.gone") | (F.col("x.gone") & (F.col("x.cid") < 0))))
+    near = verified(setjoin.hub_candidates(shared))
+    rest = verified(setjoin.later_candidates(shared, near))
+    discard(shared)
     led = firsts.join(near.unionByName(rest), F.col("cid") == F.col("gone"), "left").withColumn("gone", F.col("gone").isNotNull())
     kept = led.groupBy(F.col("first.id").alias("_id"), F.col("first.t").alias("_t")).agg(F.collect_list(F.when(~F.col("gone"), F.col("first.n"))).alias("_kept"), F.count_if("gone").alias("n_similar"))
     kept = written(kept, "kept")

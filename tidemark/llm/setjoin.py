@@ -10,6 +10,8 @@ two sets differ in at least as many numbers as their signatures in bits. Only wh
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from .common import written
 NUM, DEN = 4, 5  # the threshold: 0.8
 LINK_LEAST = 4  # smaller sets reach the threshold only when equal
 RARITY_SHIFT = 57  # the bits above hold the rarity class
+FEW = 5  # the first two, the last two and the class itself
 HOT, VERY_HOT = 20, 36  # rarity classes from about 1,000 and 260,000 occurrences
 
 
@@ -58,35 +61,50 @@ def key_rows(classes: DataFrame, *also: str) -> DataFrame:
     return classes.select("cid", "size", "b1", "b2", *also, F.explode("keys").alias("k")).select("k.key", "k.pos", "cid", "size", "b1", "b2", *also)
 
 
-def _close(x: str, y: str) -> Column:
-    """Whether the key rows with prefixes x and y can be similar."""
-    c = lambda p, n: F.col(p + n)
-    need = F.ceil((c(x, "size") + c(y, "size")) * NUM / (NUM + DEN))
-    bound = F.least(c(x, "pos"), c(y, "pos")) + F.least(c(x, "size") - c(x, "pos"), c(y, "size") - c(y, "pos"))
-    fits = (c(x, "size") * DEN >= c(y, "size") * NUM) & (c(y, "size") * DEN >= c(x, "size") * NUM)
-    apart = F.bit_count(c(x, "b1").bitwiseXOR(c(y, "b1"))) + F.bit_count(c(x, "b2").bitwiseXOR(c(y, "b2")))
-    return fits & (bound >= need) & (apart <= c(x, "size") + c(y, "size") - 2 * need)
+def _close(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+    """Whether two key rows, given as columns by name, can be similar."""
+    need = F.ceil((x("size") + y("size")) * NUM / (NUM + DEN))
+    bound = F.least(x("pos"), y("pos")) + F.least(x("size") - x("pos"), y("size") - y("pos"))
+    fits = (x("size") * DEN >= y("size") * NUM) & (y("size") * DEN >= x("size") * NUM)
+    apart = F.bit_count(x("b1").bitwiseXOR(y("b1"))) + F.bit_count(x("b2").bitwiseXOR(y("b2")))
+    return fits & (bound >= need) & (apart <= x("size") + y("size") - 2 * need)
 
 
 def candidates(left: DataFrame, right: DataFrame, also: Column | None = None) -> DataFrame:
     """(a, b) with a < b, distinct: classes that share a key of left and right (aliased x and y) and pass the filters;
     where left and right are one table, a comes from x."""
     order = F.col("x.cid") < F.col("y.cid") if left is right else F.col("x.cid") != F.col("y.cid")
-    on = (F.col("x.key") == F.col("y.key")) & order & _close("x.", "y.")
+    on = (F.col("x.key") == F.col("y.key")) & order & _close(lambda n: F.col(f"x.{n}"), lambda n: F.col(f"y.{n}"))
     if also is not None:
         on = on & also
     return left.alias("x").join(right.alias("y"), on).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
 
-def hub_candidates(keys: DataFrame) -> DataFrame:
-    """Like candidates(), but of the classes before it each is compared under a key with the first two and the last
-    two alone: a row for each of these per key at most."""
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """The key rows that can meet another class: with n, the number of rows of their key, rank, their place among these
+    by cid, and near, those of the first two and the last two classes before them that pass the filters. Rows of small
+    keys without such a class are left out, above all keys of one class alone."""
     w = Window.partitionBy("key").orderBy("cid")
     row = F.struct("cid", "size", "pos", "b1", "b2")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     hubs = F.array(F.first(row).over(before), F.nth_value(row, 2).over(before), F.lag(row, 1).over(w), F.lag(row, 2).over(w))
-    tried = keys.select("cid", "size", "pos", "b1", "b2", hubs.alias("hubs")).select("*", F.explode("hubs").alias("h"))
-    return tried.where((F.col("h.cid") < F.col("cid")) & _close("h.", "")).select(F.col("h.cid").alias("a"), F.col("cid").alias("b")).distinct()
+    placed = keys.select("*", F.row_number().over(w).alias("rank"), F.count("*").over(Window.partitionBy("key")).alias("n"), hubs.alias("hubs")).where("n > 1")
+    met = F.filter("hubs", lambda h: h.isNotNull() & (h["cid"] < F.col("cid")) & _close(lambda n: h[n], F.col))
+    near = F.array_distinct(F.transform(met, lambda h: h["cid"]))
+    return placed.select(*keys.columns, "rank", "n", near.alias("near")).where((F.size("near") > 0) | (F.col("n") > FEW))
+
+
+def hub_candidates(shared: DataFrame) -> DataFrame:
+    """(a, b) with a < b, distinct: of the classes before it each is compared with those in near alone."""
+    return shared.select(F.explode("near").alias("a"), F.col("cid").alias("b")).distinct()
+
+
+def later_candidates(shared: DataFrame, gone: DataFrame) -> DataFrame:
+    """(a, b) with a < b, distinct, for the classes b that are not in gone: all others before them. A row among the
+    first FEW of its key has been compared with all of these by its hubs, so only the later ones are joined."""
+    common = shared.where(F.col("n") > FEW).drop("near")
+    later = common.where(F.col("rank") > FEW).join(gone.select(F.col("gone").alias("cid")), "cid", "left_anti")
+    return candidates(common, later, F.col("x.cid") < F.col("y.cid"))
 
 
 def similar(sets: DataFrame, cand: DataFrame) -> DataFrame:
