@@ -1,10 +1,13 @@
 import duckdb
 import pytest
 
+from tidemark.plans import market_queries as markets
 from tidemark.plans import queries as plans
 
+QUERIES, ORACLES = {**plans.QUERIES, **markets.QUERIES}, {**plans.ORACLES, **markets.ORACLES}
+
 SF = "/root/testdata/sf0.001"
-TABLES = ("customer", "orders", "lineitem", "events", "documents", "labels")
+TABLES = ("customer", "orders", "lineitem", "events", "documents", "labels", "part", "pages", "benchmark")
 
 
 def _rows(frame):
@@ -12,12 +15,12 @@ def _rows(frame):
     return sorted(map(str, frame[cols].astype(object).where(frame[cols].notna(), None).itertuples(index=False, name=None)))
 
 
-@pytest.mark.parametrize("name", sorted(plans.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    assert _rows(plans.QUERIES[name](spark, SF).toPandas()) == _rows(con.sql(plans.ORACLES[name]).df())
+    assert _rows(QUERIES[name](spark, SF).toPandas()) == _rows(con.sql(ORACLES[name]).df())
 
 
 def test_asof_gate_and_ties(spark):

@@ -45,3 +45,17 @@ def realized_volatility(closes: DataFrame, key: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy("start_ts")
     r = closes.where("close > 0").withColumn("r", F.log(F.col("close") / F.lag("close").over(w)))
     return r.groupBy(key).agg(F.when(F.count("r") >= 2, F.stddev_pop("r")).alias("volatility"))
+
+
+def dataset(spine: DataFrame, books: DataFrame, trades: DataFrame, outcomes: DataFrame, key: str, epsilon_seconds: int = 300) -> DataFrame:
+    """spine (key, t) with price_prob, y and status. books (key, book_id, times, prob) and trades (key, trade_id, times,
+    price): the probability is that of the latest book, or where this gives none within 0 to 1 the latest trade's, never
+    that of an older book. outcomes (key, resolved_ts, y), one row per key at most. Status: no_outcome, resolved (t is
+    not before the resolution), missing_price or ok, the first that holds."""
+    book = asof_join(spine, books, key, "book_id", ["prob"], epsilon_seconds).select(key, "t", "prob")
+    trade = asof_join(spine, trades, key, "trade_id", ["price"], epsilon_seconds).select(key, "t", "price")
+    valid = lambda c: F.when(F.col(c).between(0, 1), F.col(c))
+    df = book.join(trade, [key, "t"]).join(outcomes, key, "left").withColumn("price_prob", F.coalesce(valid("prob"), valid("price")))
+    no = F.col("resolved_ts").isNull() | F.col("y").isNull()
+    status = F.when(no, "no_outcome").when(F.col("t") >= F.col("resolved_ts"), "resolved").when(F.col("price_prob").isNull(), "missing_price").otherwise("ok")
+    return df.select(key, "t", "price_prob", "y", status.alias("status"))

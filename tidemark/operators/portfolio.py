@@ -31,3 +31,27 @@ def concentration(notional: DataFrame, group: str, amount: str) -> DataFrame:
     r = notional.withColumn("k", F.row_number().over(w))
     g = r.groupBy(group).agg(F.sum(amount).alias("total"), F.sum(F.when(F.col("k") == 1, F.col(amount))).alias("a"), F.sum(F.when(F.col("k") <= 3, F.col(amount))).alias("b"))
     return g.select(group, "total", (F.col("a") / F.col("total")).alias("top1_share"), (F.col("b") / F.col("total")).alias("top3_share"))
+
+
+def reference_prices(orders: DataFrame, external: DataFrame, order: list[str]) -> DataFrame:
+    """(token, side, price): the last order's price, else the external one."""
+    last = orders.groupBy("token", "side").agg(F.max_by("price", F.struct(*order)).alias("_own"))
+    return last.join(external.withColumnRenamed("price", "_other"), ["token", "side"], "full").select("token", "side", F.coalesce("_own", "_other").alias("price"))
+
+
+def mark_to_model(positions: DataFrame, prices: DataFrame) -> DataFrame:
+    """positions (token, side, quantity, cost) with price, value and gain; all three null where there is no price."""
+    p = positions.join(prices, ["token", "side"], "left").withColumn("value", F.col("quantity") * F.col("price"))
+    return p.withColumn("gain", F.col("value") - F.col("cost"))
+
+
+def missing_prices(positions: DataFrame, prices: DataFrame) -> DataFrame:
+    return positions.select("token", "side").join(prices.where("price IS NOT NULL"), ["token", "side"], "left_anti")
+
+
+def run_performance(runs: DataFrame) -> DataFrame:
+    """Over runs (gain, notional): mean, median, worst and best gain in basis points, and the share of runs without
+    notional, whose gain counts as 0."""
+    bps = F.when(F.col("notional") > 0, F.col("gain") / F.col("notional") * 10000).otherwise(0.0)
+    r = runs.select(bps.alias("b"), (F.col("notional") <= 0).cast("int").alias("z"))
+    return r.agg(F.count("*").alias("runs"), F.avg("b").alias("mean_bps"), F.median("b").alias("median_bps"), F.min("b").alias("worst_bps"), F.max("b").alias("best_bps"), F.avg("z").alias("zero_rate"))
