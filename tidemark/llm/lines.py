@@ -91,8 +91,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = written(found.sort("first").select(F.monotonically_increasing_id().alias("cid"), "*"), "classes")
     discard(found)
     release(spark)
-    firsts = classes.select("cid", "first")
+    firsts = written(classes.select("cid", "first"), "firsts")
     shared = written(setjoin.shared_keys(setjoin.key_rows(classes)), "shared")
+    discard(classes)
     release(spark)
 
     def verified(cand: DataFrame) -> DataFrame:
@@ -112,7 +113,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     led = firsts.join(near.unionByName(rest), F.col("cid") == F.col("gone"), "left").withColumn("gone", F.col("gone").isNotNull())
     kept = led.groupBy(F.col("first.id").alias("_id"), F.col("first.t").alias("_t")).agg(F.collect_list(F.when(~F.col("gone"), F.col("first.n"))).alias("_kept"), F.count_if("gone").alias("n_similar"))
     kept = written(kept, "kept")
-    discard(classes)
+    discard(firsts)
     release(spark)
     df = docs.drop("n_lines", "n_removed", "n_similar").withColumn("_t", F.xxhash64(text_col)).withColumn("_lines", F.split(text_col, "\n"))
     df = df.join(kept.withColumnRenamed("_t", "_u"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_u")), "left")
