@@ -271,3 +271,26 @@ def test_stages_keep_columns_named_like_new_ones(spark):
     d = spark.createDataFrame([(1, text, "KEEP", 7)], "doc_id long, text string, kept string, n_lines int")
     for stage in (corpus_pipeline.quality_rules, corpus_pipeline.line_dedup, corpus_pipeline.near_dedup, corpus_pipeline.benchmark_decontamination):
         assert [tuple(r) for r in stage(spark, d, SF).collect()] == [(1, text, "KEEP", 7)]
+
+
+def test_mixing_scores_each_text_by_itself():
+    """Texts of several bytes a character end elsewhere in bytes than in characters; batches must not cut any short."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["plain words " * 40, "\u00e9\u4e16\u754c " * 90, "A short ONE", "", None, "\u4e16" * 300, "tail " * 100]
+    rows = pa.table({"id": range(len(texts)), "text": pa.array(texts, pa.string()), "held_out": [False] * len(texts), "block": pa.array([0] * len(texts), pa.int32())})
+    g = mixing.gather(rows)
+    ctx, nxt, n = g["ctx"].to_numpy().view(np.uint64), g["next"].to_numpy(), g["n"].to_numpy()
+    model, mixer = mixing.Model(ctx[nxt >= 0], nxt[nxt >= 0], n[nxt >= 0]), mixing.Mixer()
+    seen = 0
+    for at, part in mixing._parts(rows):
+        together = mixer.costs(*mixing._prepared(model, mixer, part, 0.0))
+        for i, low, bits in zip(at, part, together, strict=True):
+            assert low == (texts[i] or "").translate(mixing_lower).encode()
+            assert abs(bits - mixer.costs(*mixing._prepared(model, mixer, [low], 0.0))[0]) < 1e-3
+            seen += 1
+    assert seen == len(texts)
+
+
+mixing_lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
