@@ -294,3 +294,9 @@ def test_mixing_scores_each_text_by_itself():
 
 
 mixing_lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def test_hosts_of_disguised_urls(spark):
+    want = {"http://user:pw@Evil.com/": "evil.com", "http://evil.com./": "evil.com", "http://evil.com\\@good.com/": "evil.com", "http://[::1]:80/a": "[::1]", "https://a.b:8080?x=@c": "a.b", "no url": "", None: ""}
+    got = spark.createDataFrame([(u,) for u in want], "u string").select("u", url_lists.host_of(F.col("u")).alias("h"))
+    assert {r["u"]: r["h"] for r in got.collect()} == want

@@ -25,7 +25,9 @@ def keys(host):
 
 
 def host_of(url):
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1))
+    """The host in lower case, without user info, port and closing dots; a backslash ends it as a slash does."""
+    host = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#\\]*@)?(\[[^\]/?#]*\]|[^/?#:\\]*)", 1)
+    return F.rtrim(F.lower(host), F.lit("."))
 
 
 def apply(captures: DataFrame, entries: DataFrame, id_col: str = "page_id") -> DataFrame:
