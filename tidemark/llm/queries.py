@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, mixing, packing, pii, quality, simhash, substrings, toxicity, url_lists
+from . import decontaminate, hardnegatives, lines, mixing, packing, pii, prefixtrie, quality, simhash, substrings, sumsquares, toxicity, url_lists
 from .common import table
 
 
@@ -85,6 +85,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
 
 
+def op11_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sumsquares.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("v"), (F.col("vec_id") % 100 == 0).alias("anchor"))
+    return hardnegatives.mine(rows)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_url_lists": op1_url_lists,
     "op2_quality_rules": op2_quality_rules,
@@ -96,6 +110,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op11_sum_of_squares": op11_sum_of_squares,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 OP1_SQL = r"""
 WITH c AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
@@ -109,4 +126,28 @@ l AS (SELECT k.page_id, k.key, (SELECT arg_max(e.listed, e.ts) FROM e WHERE e.ke
 b AS (SELECT page_id, arg_max(key, length(key)) AS listed_by FROM l WHERE on_list GROUP BY 1)
 SELECT c.page_id, host, fetch_ts, listed_by IS NOT NULL AS blocked, listed_by FROM c LEFT JOIN b ON c.page_id = b.page_id
 """
-ORACLES = {"op1_url_lists": OP1_SQL, "op2_quality_rules": quality.oracle()}
+OP12_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), FALSE))) = len(embedding)),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INT AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10
+"""
+#: h needs CRC-32, which DuckDB lacks: eight steps for each byte of the decimal number, of which the first takes it in.
+OP13_SQL = """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS own, conv_id - conv_id % 5 AS base, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda d: [ascii(d)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384)) AS crc FROM t GROUP BY conv_id),
+k AS (SELECT c.conv_id, c.base, xor(c.crc, 4294967295) % 9 AS h, least(xor(c.crc, 4294967295) % 9, coalesce(b.own, 0)) AS lent FROM c LEFT JOIN c b ON c.base = b.conv_id),
+r AS (SELECT conv_id, p - h + lent AS p, role, text FROM t JOIN k USING (conv_id) WHERE p >= h UNION ALL SELECT k.conv_id, p, role, text FROM k JOIN t ON k.base = t.conv_id WHERE p < h),
+l AS (SELECT k.conv_id, coalesce(list({'role': role, 'text': text} ORDER BY p) FILTER (p IS NOT NULL), []) AS s FROM k LEFT JOIN r USING (conv_id) GROUP BY k.conv_id),
+x AS (SELECT conv_id AS c, s, unnest(range(0, len(s) + 1)) AS depth FROM l),
+n AS (SELECT s[1:depth]::VARCHAR AS path, CASE WHEN depth > 0 THEN s[1:depth - 1]::VARCHAR END AS up, any_value(CASE WHEN depth > 0 THEN strlen(s[depth].text) ELSE 0 END) AS bytes, depth, min(c) AS conv_id, count(*) AS n_convs,
+  sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(s) = depth), '')) AS ends_sha256 FROM x GROUP BY ALL),
+f AS (SELECT n.*, (SELECT count(*) FROM n b WHERE b.up = n.path AND b.depth = n.depth + 1) AS n_children FROM n),
+a AS (SELECT DISTINCT s[1:depth]::VARCHAR AS path, depth, s[1:upto]::VARCHAR AS below, upto FROM (SELECT s, depth, unnest(range(depth, len(s) + 1)) AS upto FROM x)),
+u AS (SELECT a.path, a.depth, sum((f.n_children = 0)::INT)::BIGINT AS n_leaves, sum((f.n_convs - 1) * f.bytes)::BIGINT AS saved_tokens FROM a JOIN f ON a.below = f.path AND a.upto = f.depth GROUP BY ALL)
+SELECT f.conv_id, f.depth, g.conv_id AS parent_conv_id, f.n_convs, f.n_children, u.n_leaves, u.saved_tokens, f.ends_sha256 FROM f JOIN u ON f.path = u.path AND f.depth = u.depth LEFT JOIN n g ON f.up = g.path AND f.depth = g.depth + 1
+"""
+ORACLES = {"op1_url_lists": OP1_SQL, "op2_quality_rules": quality.oracle(), "op12_hard_negatives": OP12_SQL, "op13_prefix_trie": OP13_SQL}
