@@ -4,8 +4,8 @@ Rows are dealt to cells by ranges of their first components; within a cell they
 component after the other into slabs (sort-tile-recursive), down to leaves of LEAF rows, each with its minimum bounding
 box. Per component a box gives an interval of products with the query, and their sums bound the inner product of every
 row inside. A queue visits the box of the largest bound first; boxes outside of all score windows, or strictly below
-the kth score found, are pruned. Queries go to the cells whose boxes meet their windows; each cell answers with its own
-best rows, of which the best of all are kept.
+the kth score found, are pruned. Queries go to the cells whose boxes meet their windows, in rounds of ever more
+cells, each with the kth scores of the rounds before.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from .common import written
 LEAF = 64
 FAN = 16
 CELL = 65_536  # rows in a cell, about: one cell is in a task's memory
+GROWTH = 8
 SCALE = 256
 _LEAVES = "cell long, n int, cell_lo array<long>, cell_hi array<long>, lo binary, hi binary, vectors binary, labels binary, ids binary, rows binary"
 _FOUND = "q long, w int, score long, id long, r long"
@@ -193,20 +194,40 @@ def _search(k: int, same: bool):
     return run
 
 
-def _best(queries: DataFrame, leaves: DataFrame, n: int, k: int, same: bool) -> DataFrame:
-    """queries (q, label, v, low, high: bounds of windows) to their first k rows per window, ranked."""
+def _asked(queries: DataFrame, leaves: DataFrame, start: int, stop: int, k: int, same: bool) -> DataFrame:
+    """What the cells start..stop - 1 answer to the queries whose windows their boxes meet."""
     box = leaves.where("cell_lo IS NOT NULL").select("cell", "cell_lo", "cell_hi")
-    asked = queries.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(box, "cell")
+    asked = queries.withColumn("cell", F.explode(F.sequence(F.lit(start).cast("long"), F.lit(stop - 1).cast("long")))).join(box, "cell")
     ends = F.arrays_zip("v", "cell_lo", "cell_hi")
     zero = F.lit(0).cast("long")
     most = F.aggregate(ends, zero, lambda s, x: s + F.greatest(x["v"] * x["cell_lo"], x["v"] * x["cell_hi"]))
     least = F.aggregate(ends, zero, lambda s, x: s + F.least(x["v"] * x["cell_lo"], x["v"] * x["cell_hi"]))
     asked = asked.withColumns({"most": most, "least": least}).where(F.exists(F.arrays_zip("low", "high"), lambda w: (w["low"] <= F.col("most")) & (w["high"] >= F.col("least"))))
-    both = leaves.drop("cell_lo", "cell_hi").unionByName(asked.select("cell", "q", "label", "v", "low", "high"), allowMissingColumns=True)
+    here = leaves.where(F.col("cell").between(start, stop - 1)).drop("cell_lo", "cell_hi")
+    both = here.unionByName(asked.select("cell", "q", "label", "v", "low", "high"), allowMissingColumns=True)
+    n = stop - start
     both = both.repartition(min(4 * n, max(n, 4096)), "cell").sortWithinPartitions(F.col("cell"), F.col("q").asc_nulls_first())
-    found = both.mapInArrow(_search(k, same), _FOUND)
+    return both.mapInArrow(_search(k, same), _FOUND)
+
+
+def _best(queries: DataFrame, leaves: DataFrame, n: int, k: int, same: bool) -> DataFrame:
+    """queries (q, label, v, low, high: bounds of windows) to their first k rows per window, ranked. Cells are asked in
+    rounds, each of GROWTH times as many as before: the kth score of all earlier rounds raises a window's lower bound,
+    so that a round answers with about GROWTH times k rows for a window instead of k for each cell."""
     w = Window.partitionBy("q", "w").orderBy(F.desc("score"), "id", "r")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    found, stop, asked = None, 0, queries
+    while True:
+        start, stop = stop, min(n, max(1, GROWTH * stop))
+        part = _asked(asked, leaves, start, stop, k, same)
+        both = part if found is None else found.select(part.columns).unionByName(part)
+        best = both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        if stop == n:
+            return best
+        found = written(best, "found")
+        kth = found.groupBy("q", "w").agg(F.min("score").alias("kth"), F.count("*").alias("c")).where(F.col("c") == k)
+        kth = kth.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("w", "kth"))).alias("kth"))
+        raised = F.transform("low", lambda x, i: F.greatest(x, F.coalesce(F.element_at("kth", i), x)))
+        asked = queries.join(kth, "q", "left").withColumn("low", raised).drop("kth")
 
 
 def mine(rows: DataFrame, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, scale: int = SCALE, cell_rows: int = CELL) -> DataFrame:
