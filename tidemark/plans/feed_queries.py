@@ -74,18 +74,18 @@ def _resolutions(spark, sf_dir):
 QUERIES = {"feed_reconcile": _verdicts, "resolution_times": _resolutions}
 _FEED = f"""e AS (SELECT user_id AS token, event_id AS n, CASE WHEN event_type IN ('purchase', 'view') THEN 'trade' WHEN event_type IN ('click', 'signup') THEN 'book' ELSE 'rest' END AS kind, value,
     date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) * 1000000 AS at0 FROM events),
-  c AS (SELECT *, CASE WHEN token % 5 > 0 THEN sum((kind = 'trade')::INT) OVER (PARTITION BY token ORDER BY n)::BIGINT END AS q, at0 - CASE WHEN kind <> 'rest' AND n % 23 = 0 THEN {2 * DAY * 1_000_000} ELSE 0 END AS at, row_number() OVER (PARTITION BY token ORDER BY n) AS k FROM e),
-  r AS (SELECT token, n, kind, at, k, CASE WHEN kind = 'trade' THEN q + (n % 29 = 0)::INT END AS seq, CASE WHEN (kind = 'rest' AND n % 10 = 0) OR (kind = 'book' AND n % 6 > 0) THEN round(value) END AS mid, CASE WHEN kind = 'rest' THEN q + n % 3 END AS rest_seq,
+  c AS (SELECT *, CASE WHEN token % 5 > 0 THEN sum((kind = 'trade')::INT) OVER (PARTITION BY token ORDER BY n)::BIGINT END AS q, at0 - CASE WHEN kind <> 'rest' AND n % 23 = 0 THEN {2 * DAY * 1_000_000} ELSE 0 END AS "at", row_number() OVER (PARTITION BY token ORDER BY n) AS k FROM e),
+  r AS (SELECT token, n, kind, "at", k, CASE WHEN kind = 'trade' THEN q + (n % 29 = 0)::INT END AS seq, CASE WHEN (kind = 'rest' AND n % 10 = 0) OR (kind = 'book' AND n % 6 > 0) THEN round(value) END AS mid, CASE WHEN kind = 'rest' THEN q + n % 3 END AS rest_seq,
     at0 - 3600000000 AS rest_at, n % 4 AS rest_n, at0 AS book_now FROM c),
-  s AS (SELECT token, 0::BIGINT AS k, NULL::BIGINT AS last_seq, NULL::BIGINT AS trade_at, NULL::BIGINT AS book_at, NULL::DOUBLE AS last_mid, NULL::BIGINT AS done_at, FALSE AS gap, FALSE AS reg, '' AS kind, 0::BIGINT AS n, 0::BIGINT AS at, NULL::BIGINT AS window_start, '' AS reasons, NULL::DOUBLE AS off, FALSE AS repaired, 0::BIGINT AS repairs
+  s AS (SELECT token, 0::BIGINT AS k, NULL::BIGINT AS last_seq, NULL::BIGINT AS trade_at, NULL::BIGINT AS book_at, NULL::DOUBLE AS last_mid, NULL::BIGINT AS done_at, FALSE AS gap, FALSE AS reg, '' AS kind, 0::BIGINT AS n, 0::BIGINT AS "at", NULL::BIGINT AS window_start, '' AS reasons, NULL::DOUBLE AS off, FALSE AS repaired, 0::BIGINT AS repairs
       FROM (SELECT DISTINCT token FROM r) UNION ALL
-    SELECT token, k, CASE WHEN kind = 'trade' THEN greatest(last_seq, seq) WHEN fix THEN greatest(last_seq, rest_seq) ELSE last_seq END, CASE WHEN kind = 'trade' THEN greatest(trade_at, at) WHEN fix THEN greatest(trade_at, rest_at) ELSE trade_at END,
-      CASE WHEN kind = 'book' THEN greatest(book_at, at) WHEN fix THEN greatest(book_at, book_now) ELSE book_at END, CASE WHEN kind = 'book' OR fix THEN coalesce(mid, last_mid) ELSE last_mid END, CASE WHEN kind = 'rest' THEN greatest(done_at, at) ELSE done_at END,
-      NOT fix AND (gap OR coalesce(kind = 'trade' AND seq <> last_seq + 1, FALSE)), NOT fix AND (reg OR coalesce(kind = 'trade' AND at < trade_at, FALSE) OR coalesce(kind = 'book' AND at < book_at, FALSE)), kind, n, at, coalesce(done_at, trade_at), why, bps, fix, CASE WHEN fix THEN rest_n ELSE 0 END FROM
+    SELECT token, k, CASE WHEN kind = 'trade' THEN greatest(last_seq, seq) WHEN fix THEN greatest(last_seq, rest_seq) ELSE last_seq END, CASE WHEN kind = 'trade' THEN greatest(trade_at, "at") WHEN fix THEN greatest(trade_at, rest_at) ELSE trade_at END,
+      CASE WHEN kind = 'book' THEN greatest(book_at, "at") WHEN fix THEN greatest(book_at, book_now) ELSE book_at END, CASE WHEN kind = 'book' OR fix THEN coalesce(mid, last_mid) ELSE last_mid END, CASE WHEN kind = 'rest' THEN greatest(done_at, "at") ELSE done_at END,
+      NOT fix AND (gap OR coalesce(kind = 'trade' AND seq <> last_seq + 1, FALSE)), NOT fix AND (reg OR coalesce(kind = 'trade' AND "at" < trade_at, FALSE) OR coalesce(kind = 'book' AND "at" < book_at, FALSE)), kind, n, "at", coalesce(done_at, trade_at), why, bps, fix, CASE WHEN fix THEN rest_n ELSE 0 END FROM
     (SELECT *, kind = 'rest' AND (why <> '' OR coalesce(bps > 10, FALSE)) AS fix FROM
     (SELECT r.*, last_seq, trade_at, book_at, last_mid, done_at, gap, reg, CASE WHEN r.kind = 'rest' THEN abs(mid - last_mid) / greatest(abs(mid), abs(last_mid), 1e-8) * 10000 END AS bps,
       CASE WHEN r.kind = 'rest' THEN concat_ws(',', CASE WHEN reg THEN 'timestamp_regression' END, CASE WHEN gap THEN 'sequence_gap' END, CASE WHEN last_seq IS NOT NULL THEN CASE WHEN rest_seq > last_seq + 1 THEN 'rest_seq_ahead' END WHEN trade_at IS NULL THEN 'heuristic_reconcile_tick'
-        WHEN (r.at - trade_at) // 1000000 > {DAY} THEN 'heuristic_trade_stale' END) ELSE '' END AS why FROM s JOIN r ON r.token = s.token AND r.k = s.k + 1)))"""
+        WHEN (r."at" - trade_at) // 1000000 > {DAY} THEN 'heuristic_trade_stale' END) ELSE '' END AS why FROM s JOIN r ON r.token = s.token AND r.k = s.k + 1)))"""
 
 
 def _payload_sql() -> str:
@@ -126,7 +126,7 @@ def _resolution_sql() -> str:
 
 
 ORACLES = {
-    "feed_reconcile": f"""WITH RECURSIVE {_FEED} SELECT token, n, at, coalesce(window_start, -1) AS window_start, reasons, round(coalesce(off, -1), 6) AS mismatch_bps, repaired, repairs AS trades_repaired, coalesce(last_seq, -1) AS last_seq,
+    "feed_reconcile": f"""WITH RECURSIVE {_FEED} SELECT token, n, "at", coalesce(window_start, -1) AS window_start, reasons, round(coalesce(off, -1), 6) AS mismatch_bps, repaired, repairs AS trades_repaired, coalesce(last_seq, -1) AS last_seq,
   coalesce(trade_at, -1) AS last_trade_at, coalesce(book_at, -1) AS last_book_at FROM s WHERE kind = 'rest'""",
     "resolution_times": f"""WITH p AS (SELECT o_orderkey AS market_id, {_payload_sql()} AS payload FROM orders), r AS (SELECT market_id, payload, {_resolution_sql()} AS r FROM p)
   SELECT market_id, coalesce(r::BIGINT, -1) AS resolves, CASE WHEN r IS NULL THEN CASE WHEN lower(json_extract_string(payload, '$.status')) IN ('resolved', 'closed', 'ended') THEN '0_24h' ELSE 'unknown' END WHEN r - epoch(TIMESTAMP '2023-06-15 12:00:00') <= {DAY} THEN '0_24h'
