@@ -1,10 +1,12 @@
 import duckdb
 import pytest
 
+from tidemark.plans import allocation_queries, feed_queries, forecast_queries, sink_queries
 from tidemark.plans import market_queries as markets
 from tidemark.plans import queries as plans
 
-QUERIES, ORACLES = {**plans.QUERIES, **markets.QUERIES}, {**plans.ORACLES, **markets.ORACLES}
+MODULES = (plans, markets, forecast_queries, sink_queries, allocation_queries, feed_queries)
+QUERIES, ORACLES = {k: v for m in MODULES for k, v in m.QUERIES.items()}, {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("customer", "orders", "lineitem", "events", "documents", "labels", "part", "pages", "benchmark")

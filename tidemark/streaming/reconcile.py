@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +26,11 @@ def _largest(a: Any, b: Any) -> Any:
     return b if a is None else a if b is None else max(a, b)
 
 
+def _plain(row: tuple, fraction: int) -> tuple:
+    """Nulls and whole numbers as such, which pandas may have made NaN and floats; only one column has fractions."""
+    return tuple(None if pd.isna(x) else x if isinstance(x, (str, bool, np.bool_)) else float(x) if i == fraction else int(x) for i, x in enumerate(row))
+
+
 def step(state: tuple, row: tuple, gap_seconds: int, mismatch_bps: float, sequences: bool) -> tuple[tuple, tuple | None]:
     """The state after a row (n, kind, at, seq, mid, rest_seq, rest_at, rest_n, book_at), and the verdict of a report.
     Times are in microseconds."""
@@ -73,11 +79,10 @@ def reconciled(rows: DataFrame, gap_seconds: int = 60, mismatch_bps: float = 10,
     if rows.isStreaming:
 
         def judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-            at = state.get if state.exists else NEW
-            got = pd.concat(list(frames)).sort_values("n")[COLUMNS[1:]].astype(object)
+            at = _plain(state.get, 3) if state.exists else NEW
             out = []
-            for row in got.where(got.notna(), None).itertuples(index=False, name=None):
-                at, verdict = step(at, row, *args)
+            for row in pd.concat(list(frames)).sort_values("n")[COLUMNS[1:]].itertuples(index=False, name=None):
+                at, verdict = step(at, _plain(row, 4), *args)
                 if verdict:
                     out.append((key[0], *verdict))
             state.update(at)
