@@ -33,7 +33,7 @@ def _stored(spark, sf_dir):
 
 
 QUERIES = {"article_outcomes": lambda s, d: _found(s, d).drop("n"), "stored_articles": _stored}
-_ARRIVALS = f"""{_HASHES}, r AS (SELECT h.id, h.published_at + to_hours(CASE WHEN h.id % 3 = 0 THEN 12 ELSE 0 END) AS published_at, h.domain, content_hash, title_hash, 'https://x.org/' || CASE WHEN h.id % 5 = 0 THEN h.id // 10 ELSE h.id END AS url, row_number() OVER (ORDER BY h.id) AS k FROM h),
+_ARRIVALS = f"""{_HASHES.replace("h AS (", "h AS MATERIALIZED (")}, r AS (SELECT h.id, h.published_at + to_hours(CASE WHEN h.id % 3 = 0 THEN 12 ELSE 0 END) AS published_at, h.domain, content_hash, title_hash, 'https://x.org/' || CASE WHEN h.id % 5 = 0 THEN h.id // 10 ELSE h.id END AS url, row_number() OVER (ORDER BY h.id) AS k FROM h),
   s AS (SELECT 0::BIGINT AS k, [{{'id': 0::BIGINT, 'p': TIMESTAMP '2024-01-01', 'd': '', 'u': '', 'c': '', 't': ''}}][2:] AS g, 0::BIGINT AS id, 0::BIGINT AS article_id, '' AS reason UNION ALL
     SELECT k, CASE WHEN hit IS NULL THEN list_append(g, {{'id': id, 'p': published_at, 'd': domain, 'u': url, 'c': content_hash, 't': title_hash}}) ELSE g END, id, coalesce(hit, id), CASE WHEN hit IS NULL THEN '' WHEN hu IS NOT NULL THEN 'canonical_url' WHEN hc IS NOT NULL THEN 'content_hash' ELSE 'title_window' END FROM
     (SELECT *, coalesce(hu, hc, ht) AS hit FROM (SELECT r.*, g, list_filter(g, lambda x: x.u = r.url)[1].id AS hu, list_filter(g, lambda x: x.c = r.content_hash)[1].id AS hc,
