@@ -296,6 +296,20 @@ def test_mixing_scores_each_text_by_itself():
 mixing_lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def test_every_capture_has_its_row(spark):
+    rows = [(1, "http://a.b.c/x", 10), (1, "http://a.b.c/x", 10), (None, "http://a.b.c/y", 10), (None, "http://a.b.c/y", 30), (2, None, 10), (3, "http://c/", None), (4, "nonsense", 10)]
+    captures = spark.createDataFrame([(*r, "k", 0) for r in rows], "page_id long, url string, fetch_ts long, key string, id int")
+    entries = spark.createDataFrame([("b.c", 5, True), ("b.c", 20, False), ("a.b.c", 25, True), (None, 1, True), ("c", None, True)], "key string, ts long, listed boolean")
+    want = sorted([(1, "a.b.c", 10, True, "b.c")] * 2 + [(None, "a.b.c", 10, True, "b.c"), (None, "a.b.c", 30, True, "a.b.c"), (2, "", 10, False, None), (3, "c", None, False, None), (4, "", 10, False, None)], key=str)
+    assert sorted(map(tuple, url_lists.apply(captures, entries).collect()), key=str) == want
+    url_lists.BROADCAST_ROWS, most = 0, url_lists.BROADCAST_ROWS
+    try:
+        assert sorted(map(tuple, url_lists.apply(captures, entries).collect()), key=str) == want
+    finally:
+        url_lists.BROADCAST_ROWS = most
+    assert {r["blocked"] for r in url_lists.apply(captures, entries.limit(0)).collect()} == {False} and url_lists.apply(captures.limit(0), entries).collect() == []
+
+
 def test_hosts_of_disguised_urls(spark):
     want = {"http://user:pw@Evil.com/": "evil.com", "http://evil.com./": "evil.com", "http://evil.com\\@good.com/": "evil.com", "http://[::1]:80/a": "[::1]", "https://a.b:8080?x=@c": "a.b", "no url": "", None: ""}
     got = spark.createDataFrame([(u,) for u in want], "u string").select("u", url_lists.host_of(F.col("u")).alias("h"))

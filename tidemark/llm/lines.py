@@ -74,7 +74,7 @@ def _sets_of(docs: DataFrame, firsts: DataFrame, table: Column) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_WORDS) -> DataFrame:
-    """docs with text_col less its repeated lines, and n_lines, n_removed and n_links as new columns.
+    """docs with text_col less its repeated lines, and n_lines, n_removed and n_similar as new columns.
 
     A line goes if a line before it (smaller id, or same id and higher up) has a similarity of 0.8 or more, both
     judged on the input. Lines of fewer than least different words stay, so with 1 only blank ones. n_similar counts

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 BROADCAST_ROWS = 1_000_000
 SALTS = 32
 
@@ -33,17 +35,19 @@ def host_of(url):
 def apply(captures: DataFrame, entries: DataFrame, id_col: str = "page_id") -> DataFrame:
     """(id, host, fetch_ts, blocked, listed_by): captures has id_col, url and fetch_ts. A capture is blocked if its host or
     a parent domain is listed at fetch_ts (since inclusive, until exclusive); listed_by is the longest such key.
-    Null urls and times are never blocked. A list of up to BROADCAST_ROWS intervals is broadcast; a longer one is
+    Null urls and times are never blocked. Each row of captures gives one row, repeated rows and null ids too; empty
+    tables give none, or none blocked; other columns are ignored. A list of up to BROADCAST_ROWS intervals is broadcast; a longer one is
     joined by shuffle, a key's captures being salted so that no host or domain lands in one task."""
     caps = captures.select(F.col(id_col).alias("id"), host_of(F.col("url")).alias("host"), "fetch_ts")
-    keyed = caps.select("id", "host", "fetch_ts", F.explode(keys(F.col("host"))).alias("key"))
+    caps = written(caps.withColumn("row", F.monotonically_increasing_id()), "captures")
+    keyed = caps.select("row", "id", "host", "fetch_ts", F.explode(keys(F.col("host"))).alias("key"))
     spans = intervals(entries)
     active = lambda a: (F.col("fetch_ts") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetch_ts") < F.col("until")))
     if spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         met = keyed.join(F.broadcast(spans.withColumnRenamed("key", "k")), (F.col("key") == F.col("k")) & active(0), "left")
     else:
         dealt = spans.withColumnRenamed("key", "k").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
         met = keyed.join(dealt, (F.col("key") == F.col("k")) & (F.col("salt") == F.col("t")) & active(0), "left")
-    best = met.groupBy("id", "host", "fetch_ts").agg(F.max(F.when(F.col("k").isNotNull(), F.struct(F.length("k").alias("n"), F.col("k").alias("k")))).alias("b"))
+    best = met.groupBy("row").agg(F.first("id").alias("id"), F.first("host").alias("host"), F.first("fetch_ts").alias("fetch_ts"), F.max(F.when(F.col("k").isNotNull(), F.struct(F.length("k").alias("n"), F.col("k").alias("k")))).alias("b"))
     return best.select("id", "host", "fetch_ts", F.col("b").isNotNull().alias("blocked"), F.col("b.k").alias("listed_by"))
