@@ -1,11 +1,11 @@
 import duckdb
 import pytest
 
-from tidemark.plans import allocation_queries, feed_queries, forecast_queries, sink_queries
+from tidemark.plans import allocation_queries, claim_queries, feed_queries, forecast_queries, news_queries, sink_queries, source_queries
 from tidemark.plans import market_queries as markets
 from tidemark.plans import queries as plans
 
-MODULES = (plans, markets, forecast_queries, sink_queries, allocation_queries, feed_queries)
+MODULES = (plans, markets, forecast_queries, sink_queries, allocation_queries, feed_queries, claim_queries, news_queries, source_queries)
 QUERIES, ORACLES = {k: v for m in MODULES for k, v in m.QUERIES.items()}, {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +17,7 @@ def _rows(frame):
     return sorted(map(str, frame[cols].astype(object).where(frame[cols].notna(), None).itertuples(index=False, name=None)))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:

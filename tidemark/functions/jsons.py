@@ -13,6 +13,11 @@ CONTAINERS = ["events", "data", "items", "results", "trades", "book_updates", "b
 OWN = ["events", "items", "results", "trades", "book_updates", "books", "data", "seq", "sequence", "offset"]
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is evaluated once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def parsed(text: Column) -> Column:
     """Null for text that is no JSON."""
     return F.try_parse_json(text)
@@ -111,8 +116,7 @@ def envelope_rows(v: Column) -> Column:
 
 def text_at(row: Column, key: str) -> Column:
     """A plain value of a row as text, null for JSON's null and for objects and lists."""
-    v = F.try_element_at(row, F.lit(key))
-    return F.when(~_kind(v).isin("OBJEC", "ARRAY", "VOID"), v.try_cast("string"))
+    return let(F.try_element_at(row, F.lit(key)), lambda v: F.when(~_kind(v).isin("OBJEC", "ARRAY", "VOID"), v.try_cast("string")))
 
 
 def channel(row: Column) -> Column:
