@@ -65,6 +65,12 @@ def find_int(v: Column, fields: list[str]) -> Column:
     return F.coalesce(*[values(f) for f in fields])
 
 
+def find_text(v: Column, field: str) -> Column:
+    """The first text that is not blank under the field at any depth, in the order of find_int()."""
+    found = F.regexp_extract_all(compact(v), F.lit(rf'[{{,]"{field}":({_STRING})'), F.lit(1))
+    return F.get(F.filter(F.transform(found, lambda t: F.trim(F.try_parse_json(t).try_cast("string"))), lambda t: t != ""), F.lit(0))
+
+
 def _kind(v: Column) -> Column:
     return F.substring(F.schema_of_variant(v), 1, 5)
 

@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .jsons import find_text, let, parsed
+
 #: White space of Unicode text; parameters that only track; words that say nothing about a topic.
 BLANK = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-TRACKING = ["fbclid", "gbraid", "gclid", "mc_cid", "mc_eid", "mkt_tok", "wbraid"]
-STOP = "a an and are as at be by for from in is it of on or that the this to was were will with".split()
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+TRACKING = ["fbclid", "gclid", "gbraid", "mc_cid", "mc_eid", "mkt_tok", "wbraid"]
+#: The characters of BLANK one by one.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+STOP = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with", "will"]
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&hellip;": "…", "&euro;": "€", "&amp;": "&"}
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, f"^{BLANK}", ""), f"{BLANK}$", "")
+    """Without white space at both ends, which is looked at from there: a pattern would go through the whole text."""
+    return F.trim(text, F.lit(BLANKS))
 
 
 def normalized(text: Column) -> Column:
@@ -44,8 +49,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def domain(url: Column) -> Column:
-    """Host in lower case without user, port and leading www.; null if there is none."""
-    host = F.regexp_extract(stripped(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:@]+)", 1)
+    """Host in lower case without user, port, leading www. and the brackets of an address; null if there is none."""
+    host = F.regexp_extract(stripped(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*|[^/?#:@\[]+)", 1)
+    host = F.regexp_replace(host, r"^\[", "")
     return F.nullif(F.regexp_replace(F.lower(host), r"^www\.", ""), F.lit(""))
 
 
@@ -71,9 +77,19 @@ def canonical_url(url: Column) -> Column:
     return F.when(scheme != "", full)
 
 
+def _numbered(text: Column) -> Column:
+    """Entities by number (&#233; or &#xe9;) as characters; those of no character stay."""
+    digits = lambda p: F.regexp_extract(p, "^&#[xX]?([0-9a-fA-F]+);$", 1)
+    code = lambda p: F.when(p.rlike("^&#[xX]"), F.conv(digits(p), 16, 10)).otherwise(digits(p)).try_cast("int")
+    made = lambda n: F.when(n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+    parts = F.regexp_extract_all(text, F.lit("&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|[^&]+|&"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^&#[0-9xX]"), F.coalesce(let(code(p), made), p)).otherwise(p)), "")
+
+
 def cleaned(fragment: Column) -> Column:
-    """Text of an HTML fragment: tags as blanks, the entities above decoded, white space collapsed; null if none is left."""
-    text = F.regexp_replace(fragment, "<[^>]+>", " ")
+    """Text of an HTML fragment: tags as blanks, the entities above and those by number decoded, white space collapsed;
+    null if none is left."""
+    text = let(F.regexp_replace(fragment, "<[^>]+>", " "), lambda t: F.when(t.contains("&#"), _numbered(t)).otherwise(t))
     for name, value in ENTITIES.items():
         text = F.replace(text, F.lit(name), F.lit(value))
     return F.nullif(stripped(F.regexp_replace(text, BLANK, " ")), F.lit(""))
@@ -85,8 +101,16 @@ def element(html: Column, tag: str) -> Column:
 
 
 def meta(html: Column, key: str) -> Column:
-    """Content of the first meta tag with this property or name that has any."""
-    return F.nullif(F.trim(F.regexp_extract(html, rf"(?i)<meta\s[^>]*(?:property|name)\s*=\s*[\"']\s*{key}\s*[\"'][^>]*content\s*=\s*[\"']([^\"']*[^\"'\s][^\"']*)[\"']", 1)), F.lit(""))
+    """Content of the first meta tag with this property or name that has any, whichever of both comes first in it."""
+    name, text = rf"(?:property|name)\s*=\s*[\"']\s*{key}\s*[\"']", r"content\s*=\s*[\"']([^\"']*[^\"'\s][^\"']*)[\"']"
+    found = [F.nullif(F.trim(F.regexp_extract(html, rf"(?i)<meta\s[^>]*{p}", 1)), F.lit("")) for p in (rf"{name}[^>]*{text}", rf"{text}[^>]*{name}")]
+    return F.coalesce(*found)
+
+
+def linked(html: Column, key: str) -> Column:
+    """The first text under key, at any depth, in the page's linked data, one script after the other."""
+    scripts = F.regexp_extract_all(html, F.lit(r"(?is)<script\s[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
+    return F.get(F.filter(F.transform(scripts, lambda t: find_text(parsed(F.trim(t)), key)), lambda x: x.isNotNull()), F.lit(0))
 
 
 def html_title(html: Column) -> Column:
@@ -95,17 +119,15 @@ def html_title(html: Column) -> Column:
 
 def html_body(html: Column) -> Column:
     """The article of linked data, else the article element, else all paragraphs."""
-    linked = F.get_json_object(F.regexp_extract(html, r"(?is)<script\s[^>]*application/ld\+json[^>]*>(.*?)</script>", 1), "$.articleBody")
     paragraphs = F.regexp_extract_all(html, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), 1)
     joined = F.array_join(F.filter(F.transform(paragraphs, cleaned), lambda p: p.isNotNull()), " ")
-    return F.coalesce(F.nullif(F.trim(linked), F.lit("")), cleaned(element(html, "article")), F.nullif(joined, F.lit("")))
+    return F.coalesce(linked(html, "articleBody"), cleaned(element(html, "article")), F.nullif(joined, F.lit("")))
 
 
 def html_published(html: Column) -> Column:
     """Linked data, else the meta tag, else the first time element; null if it is no time."""
-    linked = F.get_json_object(F.regexp_extract(html, r"(?is)<script\s[^>]*application/ld\+json[^>]*>(.*?)</script>", 1), "$.datePublished")
     shown = F.regexp_extract(html, r"(?i)<time\s[^>]*datetime\s*=\s*[\"']([^\"']+)[\"']", 1)
-    return F.coalesce(*[c.try_cast("timestamp") for c in (linked, meta(html, "article:published_time"), shown)])
+    return F.coalesce(*[c.try_cast("timestamp") for c in (linked(html, "datePublished"), meta(html, "article:published_time"), shown)])
 
 
 def side(raw: Column) -> Column:

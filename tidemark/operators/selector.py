@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sinks.staged import staged
+
 #: Words that make a rule ambiguous, and what each time to resolution counts.
-AMBIGUOUS = ["ambiguous", "depends", "discretion", "maybe", "subject to", "unclear"]
+AMBIGUOUS = ["maybe", "depends", "subject to", "discretion", "ambiguous", "unclear"]
 TTR = {"0_24h": 1.00, "1_7d": 0.85, "7_30d": 0.55, "30d_plus": 0.30, "unknown": 0.25}
 NEEDED = ["spread_bps", "top_depth_bid", "top_depth_ask", "book_imbalance_1", "return_5m", "realized_vol_1h", "stale_seconds_last_trade", "stale_seconds_last_book"]
 
@@ -70,10 +72,15 @@ def scores(rows: DataFrame) -> DataFrame:
 
 def candidate_set(rows: DataFrame, t: Column, most: int = 1500, ratio: float = 0.8, least_lq: float = 0.35, hours: int = 48) -> DataFrame:
     """rows (market_id, token, volume, updated_ts and features) that are among the first by volume, liquid enough, or
-    lately updated, with their reasons; the first `most` of them by volume. Each reason is one condition of one pass."""
+    lately updated, with their reasons; the first `most` of them by volume. The rows are made once and written; each
+    reason is one condition of one pass over them."""
     order = [F.desc("volume"), F.col("market_id"), F.col("token")]
-    top = rows.orderBy(*order).limit(max(1, int(most * ratio))).select("token", F.lit(True).alias("_top"))
+    rows, _ = staged(rows, "candidates")
+    # The last row that volume alone lets in; what comes before it in the order is compared with it, not joined.
+    cut = rows.select("volume", "market_id", "token").orderBy(*order).limit(max(1, int(most * ratio)))
+    cut = cut.agg(F.max(F.struct((-F.col("volume")).alias("v"), "market_id", "token")).alias("c")).first()["c"]
+    top = F.lit(False) if cut is None else F.struct((-F.col("volume")).alias("v"), "market_id", "token") <= F.struct(*[F.lit(x).cast(rows.schema[c].dataType).alias(n) for x, c, n in zip(cut, ("volume", "market_id", "token"), ("v", "market_id", "token"), strict=True)])
     lq = F.round(liquidity()[0], 6) >= least_lq
     fresh = (F.col("updated_ts") <= t) & (F.col("updated_ts") >= t - F.expr(f"INTERVAL {hours} HOURS"))
-    df = rows.join(top, "token", "left").withColumn("reasons", F.array_compact(F.array(F.when(lq, F.lit("by_lq_threshold")), F.when(F.col("_top"), F.lit("by_volume")), F.when(fresh, F.lit("recently_updated")))))
-    return df.where(F.size("reasons") > 0).drop("_top").orderBy(*order).limit(most)
+    df = rows.withColumn("reasons", F.array_compact(F.array(F.when(lq, F.lit("by_lq_threshold")), F.when(top, F.lit("by_volume")), F.when(fresh, F.lit("recently_updated")))))
+    return df.where(F.size("reasons") > 0).orderBy(*order).limit(most)
