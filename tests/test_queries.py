@@ -50,3 +50,16 @@ def test_calibration_averages_clamped_probabilities(spark):
 
     got = {r["bin"]: r["mean_p"] for r in calibration(spark.createDataFrame([(1.5, 1.0), (0.95, 1.0), (-0.5, 0.0)], "p double, y double")).collect()}
     assert abs(got[9] - 0.975) < 1e-12 and got[0] == 0.0
+
+
+def test_asof_carries_rows_over_spans_of_time(spark):
+    from tidemark.operators.asof import asof_many
+
+    day = "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(cast(id AS int))"
+    rows = spark.range(0, 400, 37).selectExpr("1 AS k", "id", f"{day} AS event_ts", f"{day} + INTERVAL 2 DAYS AS ingested_at", "id * 10 AS v")
+    spine = spark.range(400).selectExpr("1 AS k", f"{day} AS t").unionByName(spark.sql("SELECT 1 AS k, CAST(NULL AS TIMESTAMP_NTZ) AS t"))
+    for split in (86400, 7 * 86400, 10**9):
+        got = asof_many(spine, {"now": (rows, "id", ["v"], 0), "before": (rows, "id", ["v"], 10 * 86400)}, "k", 0, split)
+        for r in got.selectExpr("datediff(t, '2024-01-01') AS d", "now.v AS now", "before.v AS before").collect():
+            last = lambda d: None if d is None or d < 0 else d // 37 * 370
+            assert (r["now"], r["before"]) == (last(None if r["d"] is None else r["d"] - 2), last(None if r["d"] is None else r["d"] - 10))

@@ -11,19 +11,37 @@ def gate(rows: DataFrame, t, epsilon_seconds: int) -> DataFrame:
     return rows.where((F.col("event_ts") <= t) & (F.col("ingested_at") <= t + F.expr(f"INTERVAL {epsilon_seconds} SECONDS")))
 
 
-def asof_join(spine: DataFrame, rows: DataFrame, key: str, id_col: str, payload: list[str], epsilon_seconds: int = 300) -> DataFrame:
-    """spine (key, t) with the latest row of its key by (event_ts, ingested_at, id) that the gate lets through.
+def asof_many(spine: DataFrame, sources: dict[str, tuple[DataFrame, str, list[str], int]], key: str, epsilon_seconds: int = 300, split_seconds: int = 30 * 86400) -> DataFrame:
+    """spine (key, t) with one struct per source: of its rows (key, event_ts, ingested_at, id, payload) the latest by
+    (event_ts, ingested_at, id) of the same key that had happened `back` seconds before t and was ingested by t + epsilon.
+    sources names (rows, id column, payload, back).
+
+    Both gates hold from max(event_ts + back, ingested_at - epsilon) on. So all sources and the spine are put together
+    and sorted by that time once, and running maxima answer every t: one shuffle for all sources, no pairs. A key is
+    split into spans of time; what an earlier span ends with is carried into the next ones by a small table of one row
+    per key and span, so a key of very many rows is sorted by many tasks. Rows without key or either time are never
+    let through; a spine row without key or time finds none."""
+    rows = None
+    for name, (table, id_col, payload, back) in sources.items():
+        known = table.where(F.col(key).isNotNull() & F.col("event_ts").isNotNull() & F.col("ingested_at").isNotNull())
+        seen = F.greatest(F.col("event_ts") + F.expr(f"INTERVAL {back} SECONDS"), F.col("ingested_at") - F.expr(f"INTERVAL {epsilon_seconds} SECONDS"))
+        part = known.select(F.col(key), seen.alias("_x"), F.lit(0).alias("_side"), F.struct("event_ts", "ingested_at", id_col, *payload).alias(name))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    both = rows.unionByName(spine.select(F.col(key), F.col("t").alias("_x"), F.lit(1).alias("_side")), allowMissingColumns=True)
+    both = both.withColumn("_b", F.floor(F.unix_seconds(F.col("_x").cast("timestamp")) / split_seconds)).repartition(key, "_b")
+    w = Window.partitionBy(key, "_b").orderBy("_x", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    here = both.withColumns({n: F.max(n).over(w) for n in sources}).where("_side = 1")
+    ends = both.groupBy(key, "_b").agg(*[F.max(n).alias(n) for n in sources])
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(key, "_b", *[F.max(n).over(before).alias(f"_{n}") for n in sources])
+    return here.join(carried, [key, "_b"], "left").select(key, F.col("_x").alias("t"), *[F.greatest(n, f"_{n}").alias(n) for n in sources])
 
-    Both gates hold from max(event_ts, ingested_at - epsilon) on, so one sort per key by that time and a running
-    maximum answer every t: one shuffle, and no pairs of spine and rows. Rows without key or either time are never let
-    through; a spine row without key finds none."""
-    rows = rows.where(F.col(key).isNotNull() & F.col("event_ts").isNotNull() & F.col("ingested_at").isNotNull())
-    since = F.greatest("event_ts", F.col("ingested_at") - F.expr(f"INTERVAL {epsilon_seconds} SECONDS"))
-    right = rows.select(F.col(key), since.alias("t"), F.lit(0).alias("side"), F.struct("event_ts", "ingested_at", id_col, *payload).alias("row"))
-    left = spine.select(F.col(key), "t", F.lit(1).alias("side"), F.lit(None).cast(right.schema["row"].dataType).alias("row"))
-    w = Window.partitionBy(key).orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
-    best = right.unionByName(left).withColumn("row", F.max("row").over(w)).where("side = 1")
-    return best.select(key, "t", F.col("row.event_ts").alias("event_ts"), F.col(f"row.{id_col}").alias(id_col), *[F.col(f"row.{c}").alias(c) for c in payload])
+
+def asof_join(spine: DataFrame, rows: DataFrame, key: str, id_col: str, payload: list[str], epsilon_seconds: int = 300) -> DataFrame:
+    """spine (key, t) with the latest row of its key by (event_ts, ingested_at, id) that the gate lets through; see
+    asof_many()."""
+    best = asof_many(spine, {"_row": (rows, id_col, payload, 0)}, key, epsilon_seconds)
+    return best.select(key, "t", F.col("_row.event_ts").alias("event_ts"), F.col(f"_row.{id_col}").alias(id_col), *[F.col(f"_row.{c}").alias(c) for c in payload])
 
 
 def latest(rows: DataFrame, key: str, id_col: str, payload: list[str]) -> DataFrame:
@@ -52,10 +70,10 @@ def dataset(spine: DataFrame, books: DataFrame, trades: DataFrame, outcomes: Dat
     price): the probability is that of the latest book, or where this gives none within 0 to 1 the latest trade's, never
     that of an older book. outcomes (key, resolved_ts, y), one row per key at most. Status: no_outcome, resolved (t is
     not before the resolution), missing_price or ok, the first that holds."""
-    book = asof_join(spine, books, key, "book_id", ["prob"], epsilon_seconds).select(key, "t", "prob")
-    trade = asof_join(spine, trades, key, "trade_id", ["price"], epsilon_seconds).select(key, "t", "price")
+    known = asof_many(spine, {"book": (books, "book_id", ["prob"], 0), "trade": (trades, "trade_id", ["price"], 0)}, key, epsilon_seconds)
+    known = known.select(key, "t", F.col("book.prob").alias("prob"), F.col("trade.price").alias("price"))
     valid = lambda c: F.when(F.col(c).between(0, 1), F.col(c))
-    df = book.join(trade, [key, "t"]).join(outcomes, key, "left").withColumn("price_prob", F.coalesce(valid("prob"), valid("price")))
+    df = known.join(outcomes, key, "left").withColumn("price_prob", F.coalesce(valid("prob"), valid("price")))
     no = F.col("resolved_ts").isNull() | F.col("y").isNull()
     status = F.when(no, "no_outcome").when(F.col("t") >= F.col("resolved_ts"), "resolved").when(F.col("price_prob").isNull(), "missing_price").otherwise("ok")
     return df.select(key, "t", "price_prob", "y", status.alias("status"))
