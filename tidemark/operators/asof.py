@@ -31,7 +31,8 @@ def asof_many(spine: DataFrame, sources: dict[str, tuple[DataFrame, str, list[st
     both = both.withColumn("_b", F.floor(F.unix_seconds(F.col("_x").cast("timestamp")) / split_seconds)).repartition(key, "_b")
     w = Window.partitionBy(key, "_b").orderBy("_x", "_side").rowsBetween(Window.unboundedPreceding, 0)
     here = both.withColumns({n: F.max(n).over(w) for n in sources}).where("_side = 1")
-    ends = both.groupBy(key, "_b").agg(*[F.max(n).alias(n) for n in sources])
+    # The condition always holds. It names the other columns, so that both readers of the shuffle read the same one.
+    ends = both.groupBy(key, "_b").agg(*[F.max(n).alias(n) for n in sources], F.max("_x").alias("_x"), F.max("_side").alias("_side")).where("_side >= 0 OR _x IS NULL")
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(key, "_b", *[F.max(n).over(before).alias(f"_{n}") for n in sources])
     return here.join(carried, [key, "_b"], "left").select(key, F.col("_x").alias("t"), *[F.greatest(n, f"_{n}").alias(n) for n in sources])

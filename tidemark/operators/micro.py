@@ -57,20 +57,22 @@ def features(spine: DataFrame, books: DataFrame, trades: DataFrame, candles: Dat
     price and size); trades: key, trade_id, event_ts, ingested_at, price, size; candles: key, start_ts, ingested_at,
     close. Counts and sums over nothing are 0, other features null. The anchor of the return is the last trade, or else
     the middle of the last book, at t - short; what is ingested by t + epsilon counts for it as well."""
-    levels = ["mid", "bids", "asks"]
-    known = asof.asof_many(spine, {"book": (books, "book_id", levels, 0), "trade": (trades, "trade_id", ["price", "size"], 0), "old_trade": (trades, "trade_id", ["price"], short), "old_book": (books, "book_id", levels, short)}, key, epsilon_seconds)
-    old = [F.col(f"old_book.{c}") for c in levels]
+    # Each book becomes five numbers first, so that no levels are sorted or carried.
+    bid, ask = best_price(F.col("bids"), True), best_price(F.col("asks"), False)
+    tops = books.select(key, "book_id", "event_ts", "ingested_at", "mid", bid.alias("bid"), ask.alias("ask"), depth_at(F.col("bids"), bid).alias("db"), depth_at(F.col("asks"), ask).alias("da"))
+    tops = tops.withColumn("m", mid_price(F.col("mid"), F.col("bid"), F.col("ask")))
+    own = ["m", "bid", "ask", "db", "da"]
+    known = asof.asof_many(spine, {"book": (tops, "book_id", own, 0), "trade": (trades, "trade_id", ["price", "size"], 0), "old_trade": (trades, "trade_id", ["price"], short), "old_book": (tops, "book_id", ["m"], short)}, key, epsilon_seconds)
+    depth = lambda c: F.coalesce(F.col(f"book.{c}"), F.lit(0.0)).alias(c)
     known = known.select(
-        key, "t", F.col("book.event_ts").alias("book_ts"), *[F.col(f"book.{c}").alias(c) for c in levels], F.col("trade.event_ts").alias("trade_ts"), F.col("trade.price").alias("price"), F.col("trade.size").alias("size"),
-        F.col("old_trade.price").alias("at_trade"), mid_price(old[0], best_price(old[1], True), best_price(old[2], False)).alias("at_book"),
+        key, "t", F.col("book.event_ts").alias("book_ts"), *[F.col(f"book.{c}").alias(c) for c in ("m", "bid", "ask")], depth("db"), depth("da"), F.col("trade.event_ts").alias("trade_ts"),
+        F.col("trade.price").alias("price"), F.col("trade.size").alias("size"), F.col("old_trade.price").alias("at_trade"), F.col("old_book.m").alias("at_book"),
     )
     recent = within(spine, trades, key, "event_ts", short, epsilon_seconds).groupBy(key, "t").agg(F.count("*").alias("n"), F.sum("size").alias("v"))
     w = Window.partitionBy(key, "t").orderBy("start_ts")
     steps = within(spine, candles, key, "start_ts", long, epsilon_seconds).where("close > 0").withColumn("r", F.log(F.col("close") / F.lag("close").over(w)))
     vol = steps.groupBy(key, "t").agg(F.stddev_pop("r").alias("vol"))
     df = known.join(recent, [key, "t"], "left").join(vol, [key, "t"], "left")
-    df = df.withColumns({"bid": best_price(F.col("bids"), True), "ask": best_price(F.col("asks"), False)})
-    df = df.withColumns({"m": mid_price(F.col("mid"), F.col("bid"), F.col("ask")), "db": depth_at(F.col("bids"), F.col("bid")), "da": depth_at(F.col("asks"), F.col("ask"))})
     return df.select(
         key, "t", F.col("m").alias("mid_price"),
         spread_bps(F.col("bid"), F.col("ask"), F.col("m")).alias("spread_bps"),
