@@ -66,15 +66,30 @@ def realized_volatility(closes: DataFrame, key: str) -> DataFrame:
     return r.groupBy(key).agg(F.when(F.count("r") >= 2, F.stddev_pop("r")).alias("volatility"))
 
 
-def dataset(spine: DataFrame, books: DataFrame, trades: DataFrame, outcomes: DataFrame, key: str, epsilon_seconds: int = 300) -> DataFrame:
+def dataset(spine: DataFrame, books: DataFrame, trades: DataFrame, outcomes: DataFrame, key: str, epsilon_seconds: int = 300, snapshots: DataFrame | None = None) -> DataFrame:
     """spine (key, t) with price_prob, y and status. books (key, book_id, times, prob) and trades (key, trade_id, times,
     price): the probability is that of the latest book, or where this gives none within 0 to 1 the latest trade's, never
     that of an older book. outcomes (key, resolved_ts, y), one row per key at most. Status: no_outcome, resolved (t is
-    not before the resolution), missing_price or ok, the first that holds."""
-    known = asof_many(spine, {"book": (books, "book_id", ["prob"], 0), "trade": (trades, "trade_id", ["price"], 0)}, key, epsilon_seconds)
-    known = known.select(key, "t", F.col("book.prob").alias("prob"), F.col("trade.price").alias("price"))
+    not before the resolution), missing_features, missing_price or ok, the first that holds.
+
+    snapshots (key, snapshot_id, asof_ts, bound_ts, features) adds the features of the latest one up to t, in the same
+    shuffle; without it there are none and none are missing. A latest snapshot that was made with data of after
+    t + epsilon gives nothing, and no older one takes its place."""
+    sources = {"book": (books, "book_id", ["prob"], 0), "trade": (trades, "trade_id", ["price"], 0)}
+    if snapshots is not None:
+        made = snapshots.select(key, F.col("asof_ts").alias("event_ts"), F.col("asof_ts").alias("ingested_at"), "snapshot_id", "bound_ts", "features")
+        sources["snapshot"] = (made, "snapshot_id", ["bound_ts", "features"], 0)
+    known = asof_many(spine, sources, key, epsilon_seconds)
+    features = []
+    if snapshots is not None:
+        late = F.col("snapshot.bound_ts") > F.col("t") + F.expr(f"INTERVAL {epsilon_seconds} SECONDS")
+        features = [F.when(~F.coalesce(late, F.lit(False)), F.col("snapshot.features")).alias("features")]
+    known = known.select(key, "t", F.col("book.prob").alias("prob"), F.col("trade.price").alias("price"), *features)
     valid = lambda c: F.when(F.col(c).between(0, 1), F.col(c))
     df = known.join(outcomes, key, "left").withColumn("price_prob", F.coalesce(valid("prob"), valid("price")))
     no = F.col("resolved_ts").isNull() | F.col("y").isNull()
-    status = F.when(no, "no_outcome").when(F.col("t") >= F.col("resolved_ts"), "resolved").when(F.col("price_prob").isNull(), "missing_price").otherwise("ok")
-    return df.select(key, "t", "price_prob", "y", status.alias("status"))
+    status = F.when(no, "no_outcome").when(F.col("t") >= F.col("resolved_ts"), "resolved")
+    if features:
+        status = status.when(F.col("features").isNull(), "missing_features")
+    status = status.when(F.col("price_prob").isNull(), "missing_price").otherwise("ok")
+    return df.select(key, "t", "price_prob", "y", status.alias("status"), *(["features"] if features else []))
