@@ -1,11 +1,11 @@
 import duckdb
 import pytest
 
-from tidemark.plans import allocation_queries, claim_queries, evaluation_queries, feed_queries, forecast_queries, news_queries, registry_queries, sink_queries, source_queries
+from tidemark.plans import allocation_queries, claim_queries, evaluation_queries, feed_queries, forecast_queries, news_queries, payload_queries, registry_queries, sink_queries, source_queries
 from tidemark.plans import market_queries as markets
 from tidemark.plans import queries as plans
 
-MODULES = (plans, markets, forecast_queries, sink_queries, allocation_queries, feed_queries, claim_queries, news_queries, source_queries, registry_queries, evaluation_queries)
+MODULES = (plans, markets, forecast_queries, sink_queries, allocation_queries, feed_queries, claim_queries, news_queries, source_queries, registry_queries, evaluation_queries, payload_queries)
 QUERIES, ORACLES = {k: v for m in MODULES for k, v in m.QUERIES.items()}, {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
 SF = "/root/testdata/sf0.001"
