@@ -129,3 +129,13 @@ def test_evaluation_of_versions_without_examples(spark):
     assert {v: r["status"] for v, r in got.items()} == {"a": "ok", "b": "empty_selection", "c": "missing_selection"}
     a = got["a"]
     assert (a["n_tokens"], a["n_examples"], a["skipped_missing_price"], a["brier_a"], a["price_p50"], a["ttr_buckets"]) == (1, 0, 1, 0.0, 0.0, {"unknown": 1, "x": 1})
+
+
+def test_book_probability_leaves_out_what_is_no_price(spark):
+    from tidemark.operators import micro
+
+    level = "array<struct<price:double,size:double>>"
+    rows = [(1, [(1.5, 1.0), (0.4, 1.0), (-1.0, 1.0)], [(-0.2, 1.0), (0.6, 1.0)]), (2, [(float("nan"), 1.0), (0.0, 1.0)], [(0.6, 1.0)]), (3, [], [(0.5, 1.0)]), (4, None, None)]
+    df = spark.createDataFrame(rows, f"id int, bids {level}, asks {level}")
+    got = {r["id"]: r["p"] for r in df.select("id", micro.book_probability(F.col("bids"), F.col("asks")).alias("p")).collect()}
+    assert got == {1: 0.5, 2: None, 3: None, 4: None}

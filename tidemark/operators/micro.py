@@ -13,6 +13,13 @@ def best_price(levels: Column, of_bids: bool) -> Column:
     return F.array_max(prices) if of_bids else F.array_min(prices)
 
 
+def book_probability(bids: Column, asks: Column) -> Column:
+    """The middle of the best bid and ask as a probability. Prices outside 0 to 1 and NaN are no prices; null unless both
+    sides have one above 0."""
+    held = lambda levels: F.filter(levels, lambda v: v["price"].between(0, 1))
+    return mid_price(F.lit(None).cast("double"), best_price(held(bids), True), best_price(held(asks), False))
+
+
 def depth_at(levels: Column, best: Column) -> Column:
     """Total size of the levels at the best price; 0 without levels."""
     total = F.aggregate(F.filter(levels, lambda v: v["price"] == best), F.lit(0.0), lambda a, v: a + v["size"])

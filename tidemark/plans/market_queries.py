@@ -157,7 +157,13 @@ def _throughput(spark, sf_dir):
     return feed.throughput(feed.deduplicated(e, ["channel", "token", "ts"], "ts"), "ts", "1 day").drop("tokens").withColumn("start_ts", F.col("start_ts").cast("timestamp_ntz"))
 
 
+def _book_probabilities(spark, sf_dir):
+    b = books(spark, sf_dir).select("book_id", micro.book_probability(F.col("bids"), F.col("asks")).alias("price_prob"))
+    return b.select("book_id", F.coalesce(F.round("price_prob", 6), F.lit(-1.0)).alias("price_prob"))
+
+
 QUERIES = {
+    "book_probabilities": _book_probabilities,
     "micro_features": _micro,
     "asof_dataset": _dataset_rows,
     "asof_skips": lambda s, d: _dataset(s, d).groupBy("status").agg(F.count("*").alias("n")),
@@ -251,6 +257,9 @@ def _toks(c):
 _ROUNDED = ", ".join(f"round({c}, 6) + 0::DOUBLE AS {c}" for c in FEATURES)
 ORACLES = {
     "micro_features": f"{_features_sql(_SPINE)} SELECT token, t, {_ROUNDED}, trade_count_5m, coalesce(stale_seconds_last_trade, -1) AS stale_seconds_last_trade, coalesce(stale_seconds_last_book, -1) AS stale_seconds_last_book FROM f",
+    "book_probabilities": f"""WITH {_TRADES}, q AS (SELECT trade_id AS book_id, CASE WHEN price - 0.01::DOUBLE BETWEEN 0 AND 1 THEN price - 0.01::DOUBLE WHEN price - 0.01::DOUBLE - 0.01::DOUBLE BETWEEN 0 AND 1 THEN price - 0.01::DOUBLE - 0.01::DOUBLE END AS bid,
+    CASE WHEN price + 0.01::DOUBLE BETWEEN 0 AND 1 THEN price + 0.01::DOUBLE WHEN price + 0.01::DOUBLE + 0.02::DOUBLE BETWEEN 0 AND 1 THEN price + 0.01::DOUBLE + 0.02::DOUBLE END AS ask FROM t JOIN events ON trade_id = event_id WHERE event_type IN ('view', 'click'))
+  SELECT book_id, CASE WHEN bid > 0 AND ask > 0 THEN round((bid + ask) / 2, 6) ELSE -1 END AS price_prob FROM q""",
     "asof_dataset": f"{_DATASET} SELECT token, t, round(price_prob, 6) AS price_prob, coalesce(y, -1) AS y, status FROM e",
     "asof_skips": f"{_DATASET} SELECT status, count(*) AS n FROM e GROUP BY status",
     "selector_scores": f"""{_SCORES} SELECT market_id, ttr, round(lq, 6) AS lq, round(pq, 6) AS pq, round(vo, 6) AS vo, round(dc, 6) AS dc, round(rc, 6) AS rc, round(penalty, 6) AS penalty,
