@@ -314,3 +314,23 @@ def test_hosts_of_disguised_urls(spark):
     want = {"http://user:pw@Evil.com/": "evil.com", "http://evil.com./": "evil.com", "http://evil.com\\@good.com/": "evil.com", "http://[::1]:80/a": "[::1]", "https://a.b:8080?x=@c": "a.b", "no url": "", None: ""}
     got = spark.createDataFrame([(u,) for u in want], "u string").select("u", url_lists.host_of(F.col("u")).alias("h"))
     assert {r["u"]: r["h"] for r in got.collect()} == want
+
+
+def test_mixing_weights_learn_from_every_training_text(spark, monkeypatch):
+    """One set of weights for all blocks, taught by all training texts, also where no id has some remainder; held-out texts
+    teach nothing."""
+    import zlib
+
+    import numpy as np
+
+    rows = [(i, f"row {i} tells of a house by the river and of the people who live there " * 3) for i in range(400) if zlib.crc32(str(i).encode()) % 7 not in (2, 3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    used = []
+    kept = mixing._weights
+    monkeypatch.setattr(mixing, "_weights", lambda *a: used.append(kept(*a)) or used[-1])
+    assert mixing.score(d, F.lit(False)).count() == len(rows)
+    monkeypatch.setattr(mixing, "BLOCK", 10_000)
+    assert mixing.score(d, F.lit(False)).count() == len(rows)
+    start = mixing.Mixer().w
+    assert len(used) == 2 and all(w.shape == start.shape and np.abs(w - start).max() > 0.1 for w in used)
+    assert mixing.score(d, F.lit(True)).count() == len(rows) and np.array_equal(used[2], start)

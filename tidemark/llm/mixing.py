@@ -3,8 +3,9 @@
 Every byte is eight binary decisions. For each context, the last 1, 2, 3 or 4 bytes, the training texts give how often
 each byte followed; sums over the bytes that agree with the bits so far predict the next bit, as a logit whose size
 grows with the counts. The logits are mixed by weights gated by the bit's number and by how well the longer contexts
-are known, learned online from a fold of the training texts, each without its own counts. A second layer takes the mixed
-logit: along each text its scale and offset are refined by gradient steps for each bit, once per SEGMENT of bytes.
+are known, one set for the whole corpus. They are learned online from every byte of every training text, each without its
+own count: a block takes its different contexts, with how often each occurs in its texts, in slices dealt by a hash, and the
+weights of all blocks are averaged by the bytes behind them. A second layer takes the mixed logit: along each text its scale and offset are refined by gradient steps for each bit, once per SEGMENT of bytes.
 
 The counts are a Spark table that grows with the corpus and is never held whole: documents are dealt into blocks of about
 BLOCK bytes, a block states which contexts it holds, and a join gives it the counts of those alone. Word counts of the
@@ -28,12 +29,12 @@ from .common import discard, release, written
 ORDERS = (1, 2, 3, 4)
 K = len(ORDERS)
 BLOCK = 12 << 20  # bytes of text in a block, on average
-CHUNK = 1 << 20  # bytes worked on at a time
+CHUNK = 3 << 20  # bytes worked on at a time
 SEGMENT = 64
 SIDE = 128  # texts side by side in the second layer, so that its arrays stay small
 RATE, FINE = 0.5, 0.001
 LEVELS = 3
-FOLD = 3  # rows with this crc32(id) modulo 7 teach the first weights, if they are training rows
+SLICES, ROUNDS = 48, 3  # gradient steps in a round over a block's contexts, and rounds; the last round's weights are averaged
 START = (0.2, 0.25, 0.3, 0.4)
 PRIOR = 0.4
 WORD_ROW, NEED_ROW = -1, -2
@@ -115,7 +116,8 @@ def gather(rows: pa.Table) -> pa.Table:
             if held[i]:
                 known.update(_tokens(low))
             else:
-                words.update(_tokens(low))
+                words.update(low.split())
+                words[END] += 1
         if learn:
             u, back = _numbered(np.concatenate(learn))
             keys.append(u)
@@ -173,17 +175,21 @@ class Mixer:
     def __init__(self):
         self.w = np.tile(np.array(START, np.float32), (LEVELS, 8, 1))
 
-    def learn(self, x: np.ndarray, level: np.ndarray, backs: list[np.ndarray]) -> None:
-        """Gradient steps over texts side by side; x (u, 8, K) are logits of the bits taken, so the target is always 1."""
-        size = np.array([len(b) for b in backs])
-        for a in range(0, int(size[0]) if len(size) else 0, SEGMENT):
-            at = np.concatenate([b[a : a + SEGMENT] for b in backs[: int((size > a).sum())]])
-            xs, lv = x[at], level[at]
-            error = 1 / (1 + np.exp(np.clip(np.einsum("njk,njk->nj", xs, self.w[lv]), -10, 10)))
+    def learn(self, x: np.ndarray, level: np.ndarray, n: np.ndarray) -> None:
+        """Gradient steps over slices of rows that occur n times each; x (u, 8, K) are logits of the bits taken, so the
+        target is always 1."""
+        last = np.zeros_like(self.w)
+        for step in range(SLICES * ROUNDS):
+            at = slice(step % SLICES, None, SLICES)
+            xs, lv, m = x[at], level[at], n[at].astype(np.float32)
+            error = m[:, None] / (1 + np.exp(np.clip(np.einsum("njk,njk->nj", xs, self.w[lv]), -10, 10)))
             for v in range(LEVELS):
                 of = lv == v
                 if of.any():
-                    self.w[v] = np.clip(self.w[v] + RATE * np.einsum("nj,njk->jk", error[of], xs[of]) / len(at), -2, 2)
+                    self.w[v] = np.clip(self.w[v] + RATE * np.einsum("nj,njk->jk", error[of], xs[of]) / m.sum(), -2, 2)
+            if step >= SLICES * (ROUNDS - 1):
+                last += self.w / SLICES
+        self.w = last
 
     def costs(self, x: np.ndarray, level: np.ndarray, backs: list[np.ndarray]) -> np.ndarray:
         """Bits to code each text, long ones first. The mix is made once for each different row of x."""
@@ -197,6 +203,7 @@ class Mixer:
         # The bit taken is always the target 1, so the offset acts with the sign of the bit itself.
         for a in range(0, int(size[0]) if len(size) else 0, SEGMENT):
             m = int((size > a).sum())
+            full = size[m - 1] >= a + SEGMENT
             at = np.zeros((m, SEGMENT), np.int64)
             there = np.zeros((m, SEGMENT, 1), np.float32)
             for i in range(m):
@@ -215,7 +222,8 @@ class Mixer:
                 whole *= bits[j]
             spent[:m] += (np.log2(whole).reshape(m, SEGMENT) * there[:, :, 0]).sum(1, dtype=np.float64)
             e /= q
-            e *= there
+            if not full:
+                e *= there
             scale[:m, 0] = np.clip(scale[:m, 0] + FINE * np.einsum("msj,msj->mj", e, d), 0.25, 4)
             offset[:m, 0] = np.clip(offset[:m, 0] + FINE * np.einsum("msj,msj->mj", e, sign), -4, 4)
         return spent
@@ -225,16 +233,54 @@ def _prepared(model: Model, mixer: Mixer, texts: list[bytes], less: float) -> tu
     """Logits and levels of the different longest contexts with their byte, and for each text the places of its own."""
     longs = [longest(_bytes(t)) for t in texts]
     u, back = _numbered(np.concatenate(longs))
+    x, seen = _inputs(model, u, less)
+    mixer.sign = np.where((u[:, None] >> np.arange(7, -1, -1, dtype=np.uint64)) & np.uint64(1) == 1, np.float32(1), np.float32(-1))
+    return x, seen, np.split(back, np.cumsum([len(v) for v in longs])[:-1])
+
+
+def _inputs(model: Model, u: np.ndarray, less: float) -> tuple[np.ndarray, np.ndarray]:
+    """Logits and levels of longest contexts with their byte."""
     x, seen = np.empty((len(u), 8, K), np.float32), np.zeros(len(u), np.int8)
     for j, k in enumerate(ORDERS):
         of = key(u, k)
         o = np.argsort(of)
-        logits, total = model.logits(of[o], less)
-        x[o, :, j] = logits
+        of = of[o]
+        head = np.append(True, of[1:] != of[:-1])
+        logits, total = model.logits(of[head], less)
+        place = np.cumsum(head) - 1
+        x[o, :, j] = logits[place]
         if k >= 3:
-            seen[o] += total > 2
-    mixer.sign = np.where((u[:, None] >> np.arange(7, -1, -1, dtype=np.uint64)) & np.uint64(1) == 1, np.float32(1), np.float32(-1))
-    return x, seen, np.split(back, np.cumsum([len(v) for v in longs])[:-1])
+            seen[o] += (total > 2)[place]
+    return x, seen
+
+
+def taught(own: pa.Table, look: pa.Table) -> pa.Table:
+    """One block's weights (place, w, n): own is what gather() made of its longest contexts, n the training bytes behind
+    a weight."""
+    ctx, nxt, n = look["ctx"].to_numpy().view(np.uint64), look["next"].to_numpy(), look["n"].to_numpy()
+    of = nxt != WORD_ROW
+    u = ((own["ctx"].to_numpy().view(np.uint64) & np.uint64((1 << 32) - 1)) << np.uint64(8)) | own["next"].to_numpy().astype(np.uint64)
+    o = np.argsort(u * np.uint64(0x9E3779B97F4A7C15))
+    u, many = u[o], own["n"].to_numpy()[o]
+    mixer = Mixer()
+    if len(u):
+        x, level = _inputs(Model(ctx[of], nxt[of], n[of]), u, 1.0)
+        mixer.learn(x, level, many)
+        behind = np.bincount(level, many, LEVELS).astype(np.int64)
+    else:
+        behind = np.zeros(LEVELS, np.int64)
+    w = mixer.w.reshape(-1).astype(float)
+    return pa.table({"place": pa.array(np.arange(len(w), dtype=np.int32)), "w": w, "n": np.repeat(behind, len(w) // LEVELS)})
+
+
+def _weights(gathered: DataFrame, looked: DataFrame) -> np.ndarray:
+    """The weights of all blocks averaged, START where no training text reaches."""
+    own = gathered.where((F.col("next") >= 0) & (F.shiftright("ctx", 32) == ORDERS[-1]))
+    each = own.groupBy("block").cogroup(looked.groupBy("block")).applyInArrow(taught, "place int, w double, n long")
+    w = Mixer().w.reshape(-1)
+    for r in each.where("n > 0").groupBy("place").agg(F.round(F.sum(F.col("w") * F.col("n")) / F.sum("n"), 6).alias("w")).collect():
+        w[r["place"]] = r["w"]
+    return w.reshape(LEVELS, 8, K)
 
 
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,7 +289,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     Every row is scored by itself, so ids may be null or repeated; other columns are left out. Words are
     told apart by hashes of 64 bits."""
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held_out.alias("held_out"), F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == FOLD, F.lit(False)).alias("fold"))
+    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held_out.alias("held_out"))
     total = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK))
     src = src.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
@@ -256,9 +302,11 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     n_all, n_words = int(sums[0]), int(sums[1])
     need = gathered.where(F.col("next") < 0).select("ctx", "block")
     looked = written(need.join(counts, "ctx").select("block", "ctx", "next", "n"), "looked")
-    discard(gathered)
     discard(counts)
     release(spark)
+    weights = _weights(gathered, looked)
+    discard(gathered)
+    release(spark)
     kind = src.schema["id"].dataType.simpleString()
 
     def run(rows: pa.Table, look: pa.Table) -> pa.Table:
@@ -266,10 +314,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         word = nxt == WORD_ROW
         count = dict(zip(ctx[word].tolist(), n[word].tolist(), strict=True))
         model, mixer = Model(ctx[~word], nxt[~word], n[~word]), Mixer()
-        held, fold = rows["held_out"].to_numpy(zero_copy_only=False), rows["fold"].to_numpy(zero_copy_only=False)
-        teach = rows.filter(pa.array(fold & ~held))
-        for _, texts in _parts(teach):
-            mixer.learn(*_prepared(model, mixer, texts, 1.0))
+        mixer.w = weights
         seen: dict[bytes, int] = {}  # of the block's words
         out = np.zeros((rows.num_rows, 5))
         for at, texts in _parts(rows):
