@@ -31,7 +31,8 @@ def compact(v: Column) -> Column:
 def _ascii(token: Column) -> Column:
     """A string's characters beyond ASCII as \\u and four hexadecimal digits of UTF-16."""
     part = lambda s: F.when(s.rlike(r"^[\x00-\x7f]"), s).otherwise(F.regexp_replace(F.lower(F.hex(F.encode(s, "UTF-16BE"))), "(....)", r"\\u$1"))
-    return F.array_join(F.transform(F.regexp_extract_all(token, F.lit(r"[\x00-\x7f]+|[^\x00-\x7f]+"), F.lit(0)), part), "")
+    whole = F.array_join(F.transform(F.regexp_extract_all(token, F.lit(r"[\x00-\x7f]+|[^\x00-\x7f]+"), F.lit(0)), part), "")
+    return F.when(F.char_length(token) == F.octet_length(token), token).otherwise(whole)
 
 
 def _rounded(token: Column, decimals: int) -> Column:
@@ -43,7 +44,7 @@ def _rounded(token: Column, decimals: int) -> Column:
 def canonical(v: Column, decimals: int = 6) -> Column:
     """JSON text that is the same for equal values: keys sorted, no blanks, ASCII, fractions rounded to so many places,
     no negative zero. A whole number is written without a fraction however it came."""
-    tokens = F.regexp_extract_all(compact(v), F.lit(f'{_STRING}|{_NUMBER}|[^"0-9-]'), F.lit(0))
+    tokens = F.regexp_extract_all(compact(v), F.lit(f'{_STRING}|{_NUMBER}|[^"0-9-]+'), F.lit(0))
     one = lambda t: F.when(t.startswith('"'), _ascii(t)).when(t.rlike(r"^[0-9-]"), _rounded(t, decimals)).otherwise(t)
     return F.array_join(F.transform(tokens, one), "")
 
@@ -71,13 +72,25 @@ def find_text(v: Column, field: str) -> Column:
     return F.get(F.filter(F.transform(found, lambda t: F.trim(F.try_parse_json(t).try_cast("string"))), lambda t: t != ""), F.lit(0))
 
 
-def _kind(v: Column) -> Column:
-    return F.substring(F.schema_of_variant(v), 1, 5)
+def as_map(v: Column) -> Column:
+    """An object's fields, null for anything else. Unlike the schema, the cast does not go into what the fields hold."""
+    return v.try_cast("map<string,variant>")
+
+
+def as_array(v: Column) -> Column:
+    """A list's items, null for anything else."""
+    return v.try_cast("array<variant>")
+
+
+def plain(v: Column) -> Column:
+    """A plain value as text, null for JSON's null and for objects and lists."""
+    return F.when(as_map(v).isNull() & as_array(v).isNull(), v.try_cast("string"))
 
 
 def _empty(v: Column) -> Column:
-    text = F.to_json(v)
-    return v.isNull() | F.is_variant_null(v) | text.rlike(r'^"(\\[tnrf]|\s)*"$') | text.isin("{}", "[]")
+    fields, items = as_map(v), as_array(v)
+    blank = let(F.when(fields.isNull() & items.isNull(), F.to_json(v)), lambda t: F.coalesce(t.rlike(r'^"(\\[tnrf]|\s)*"$'), F.lit(False)))
+    return v.isNull() | F.is_variant_null(v) | F.when(fields.isNotNull(), F.size(fields) == 0).when(items.isNotNull(), F.size(items) == 0).otherwise(blank)
 
 
 def fill_missing(existing: Column, incoming: Column, depth: int = 6) -> Column:
@@ -86,11 +99,8 @@ def fill_missing(existing: Column, incoming: Column, depth: int = 6) -> Column:
     value = F.when(_empty(existing), incoming).otherwise(existing)
     if depth == 0:
         return value
-    as_map = lambda c: c.cast("map<string,variant>")
-    objects = (_kind(existing) == "OBJEC") & (_kind(incoming) == "OBJEC")
-    safe = lambda c: F.when(_kind(c) == "OBJEC", as_map(c))
-    filled = F.to_variant_object(F.map_zip_with(safe(existing), safe(incoming), lambda _, a, b: fill_missing(a, b, depth - 1)))
-    return F.when(objects, filled).otherwise(value)
+    maps = F.struct(as_map(existing).alias("e"), as_map(incoming).alias("i"))
+    return F.coalesce(let(maps, lambda m: F.when(m["e"].isNotNull() & m["i"].isNotNull(), F.to_variant_object(F.map_zip_with(m["e"], m["i"], lambda _, a, b: fill_missing(a, b, depth - 1))))), value)
 
 
 def _over(a: Column, b: Column) -> Column:
@@ -98,13 +108,9 @@ def _over(a: Column, b: Column) -> Column:
     return F.map_zip_with(a, b, lambda _, x, y: F.coalesce(y, x))
 
 
-def _map(v: Column) -> Column:
-    return F.when(_kind(v) == "OBJEC", v.cast("map<string,variant>"))
-
-
 def _items(v: Column) -> Column:
     """The objects of a list."""
-    return F.filter(F.transform(F.when(_kind(v) == "ARRAY", v.cast("array<variant>")), _map), lambda m: m.isNotNull())
+    return F.filter(F.transform(as_array(v), as_map), lambda m: m.isNotNull())
 
 
 def envelope_rows(v: Column) -> Column:
@@ -112,17 +118,23 @@ def envelope_rows(v: Column) -> Column:
     any, with the plain values of the envelope and of their own data; or the message itself."""
     none = F.create_map().cast("map<string,variant>")
     at = lambda m, k: F.try_element_at(m, F.lit(k))
-    own = lambda m: _over(F.coalesce(_map(at(m, "data")), none), F.map_filter(m, lambda k, _: k != "data"))
-    top = _map(v)
-    flat = own(top)
-    lent = F.map_filter(flat, lambda k, x: ~k.isin(OWN) & ~_kind(x).isin("OBJEC", "ARRAY"))
-    chosen = [F.when(F.size(_items(at(top, k))) > 0, F.transform(_items(at(top, k)), lambda m: _over(lent, own(m)))).when(_map(at(top, k)).isNotNull(), F.array(_over(lent, own(_map(at(top, k)))))) for k in CONTAINERS]
-    return F.coalesce(_items(v), *chosen, F.when(top.isNotNull(), F.array(flat)), F.array().cast("array<map<string,variant>>"))
+    own = lambda m: _over(F.coalesce(as_map(at(m, "data")), none), F.map_filter(m, lambda k, _: k != "data"))
+
+    def inner(top: Column) -> Column:
+        def under(flat: Column) -> Column:
+            lent = F.map_filter(flat, lambda k, x: ~k.isin(OWN) & as_map(x).isNull() & as_array(x).isNull())
+            held = lambda x: F.coalesce(let(_items(x), lambda i: F.when(F.size(i) > 0, i)), let(as_map(x), lambda m: F.when(m.isNotNull(), F.array(m))))
+            first = F.coalesce(*[F.when(F.map_contains_key(top, k), held(at(top, k))) for k in CONTAINERS])
+            return F.coalesce(let(first, lambda ms: F.when(ms.isNotNull(), let(lent, lambda lt: F.transform(ms, lambda m: _over(lt, own(m)))))), F.array(flat))
+
+        return F.when(top.isNotNull(), let(own(top), under))
+
+    return let(v, lambda x: F.coalesce(_items(x), let(as_map(x), inner), F.array().cast("array<map<string,variant>>")))
 
 
 def text_at(row: Column, key: str) -> Column:
     """A plain value of a row as text, null for JSON's null and for objects and lists."""
-    return let(F.try_element_at(row, F.lit(key)), lambda v: F.when(~_kind(v).isin("OBJEC", "ARRAY", "VOID"), v.try_cast("string")))
+    return let(F.try_element_at(row, F.lit(key)), plain)
 
 
 def channel(row: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.jsons import _map, canonical, let, parsed, text_at
+from ..functions.jsons import as_array, as_map, canonical, let, parsed, plain, text_at
 
 ISSUES = "array<struct<path:string,code:string,reason:string>>"
 
@@ -57,35 +57,28 @@ CODES = {"claims": "max_raw_claims_exceeded", "canonical_claims": "max_canonical
 
 
 def _kind(v: Column) -> Column:
-    s = F.schema_of_variant(v)
-    return F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s == "VOID", "null").otherwise("number")
+    """Only plain values are asked for their schema, which else goes through all that an object or list holds."""
+    one = let(F.schema_of_variant(v), lambda s: F.when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s == "VOID", "null").otherwise("number"))
+    return F.when(as_map(v).isNotNull(), "object").when(as_array(v).isNotNull(), "array").otherwise(one)
 
 
 def _issue(bad: Column, path: Column, code: str, reason: Column) -> Column:
     return F.when(bad, F.struct(path.alias("path"), F.lit(code).alias("code"), reason.cast("string").alias("reason")))
 
 
-def _list(v: Column) -> Column:
-    return F.when(_kind(v) == "array", v.cast("array<variant>"))
-
-
 def _field(m: Column, path: Column, name: str, rule: Rule) -> Column:
     here = F.concat(path, F.lit(f".{name}"))
-    value = F.try_element_at(m, F.lit(name))
-
     def judged(e: Column) -> Column:
         kind, text, number = e["kind"], e["text"], e["number"]
         want = {"any": F.lit(True), "integer": (kind == "number") & (number % 1 == 0)}.get(rule.kind, kind == rule.kind)
         found = [_issue(e["has"] & ~want, here, "schema:type", F.lit(rule.kind))]
-        if rule.required:
-            found.append(_issue(~e["has"], path, "schema:required", F.lit(name)))
         if rule.values:
             code = "schema:const" if rule.kind == "any" else "schema:enum"
             found.append(_issue(e["has"] & ~((kind == "string") & text.isin(*rule.values)), here, code, F.lit(name)))
         if rule.pattern:
             found.append(_issue((kind == "string") & ~text.rlike(rule.pattern), here, "schema:pattern", F.lit(name)))
         if rule.unique:
-            items = F.transform(_list(e["v"]), lambda x: canonical(x))
+            items = F.transform(as_array(e["v"]), lambda x: canonical(x))
             found.append(_issue(F.size(F.array_distinct(items)) < F.size(items), here, "schema:uniqueItems", F.lit(name)))
         size, codes = (number, ("minimum", "maximum")) if rule.kind in ("number", "integer") else (F.char_length(text), ("minLength", "maxLength"))
         holds = kind == ("number" if rule.kind in ("number", "integer") else "string")
@@ -95,16 +88,18 @@ def _field(m: Column, path: Column, name: str, rule: Rule) -> Column:
             found.append(_issue(holds & (size > rule.high), here, f"schema:{codes[1]}", F.lit(name)))
         return F.array(*found)
 
-    kind = _kind(value)
-    e = F.struct(value.alias("v"), F.map_contains_key(m, name).alias("has"), kind.alias("kind"), F.when(kind == "string", value.try_cast("string")).alias("text"), F.when(kind == "number", value.try_cast("double")).alias("number"))
-    return let(e, judged)
+    def described(v: Column) -> Column:
+        return let(_kind(v), lambda k: let(F.struct(v.alias("v"), F.lit(True).alias("has"), k.alias("kind"), F.when(k == "string", v.try_cast("string")).alias("text"), F.when(k == "number", v.try_cast("double")).alias("number")), judged))
+
+    missing = F.array(_issue(F.lit(rule.required), path, "schema:required", F.lit(name))).cast(ISSUES)
+    return F.when(F.map_contains_key(m, name), let(F.try_element_at(m, F.lit(name)), described).cast(ISSUES)).otherwise(missing)
 
 
 def _sources(m: Column, path: Column) -> Column:
     """Too many sources of a claim, and those whose canonical URL an earlier one of it has: the URLs are sorted with
     their places and compared with the one before."""
-    urls = F.transform(_list(F.try_element_at(m, F.lit("sources"))), lambda s: text_at(_map(s), "url"))
-    plain = F.transform(_list(F.try_element_at(m, F.lit("source_urls"))), lambda u: text_at(F.create_map(F.lit("url"), u), "url"))
+    urls = F.transform(as_array(F.try_element_at(m, F.lit("sources"))), lambda s: text_at(as_map(s), "url"))
+    named = F.transform(as_array(F.try_element_at(m, F.lit("source_urls"))), plain)
     form = lambda u: let(F.nullif(T.stripped(u), F.lit("")), lambda s: F.coalesce(T.canonical_url(s), s))
 
     def judged(us: Column) -> Column:
@@ -114,7 +109,7 @@ def _sources(m: Column, path: Column) -> Column:
         twice = F.transform(again, lambda x: F.struct(F.concat(path, F.lit(".sources["), x["j"], F.lit("].url")).alias("path"), F.lit("duplicate_source_url").alias("code"), x["u"].alias("reason")))
         return F.coalesce(F.concat(F.array(many).cast(ISSUES), twice.cast(ISSUES)), F.array().cast(ISSUES))
 
-    return let(F.coalesce(urls, plain), judged)
+    return let(F.coalesce(urls, named), judged)
 
 
 def _items(items: Column, path: Column, schema: Schema, depth: int) -> Column:
@@ -130,15 +125,15 @@ def _object(v: Column, path: Column, schema: Schema, depth: int = 0) -> Column:
         if depth == 1:
             parts.append(_sources(m, path))
         for name, inner in schema.lists.items():
-            items, at = _list(F.try_element_at(m, F.lit(name))), F.concat(path, F.lit(f".{name}"))
+            items, at = as_array(F.try_element_at(m, F.lit(name))), F.concat(path, F.lit(f".{name}"))
             parts.append(_items(items, at, inner, depth + 1))
             if name in schema.most:
-                parts.append(F.array(_issue(F.size(items) > schema.most[name], at, CODES[name], F.concat(F.size(items), F.lit(f" exceeds {schema.most[name]}")))).cast(ISSUES))
+                parts.append(let(F.size(items), lambda n: F.array(_issue(n > schema.most[name], at, CODES[name], F.concat(n, F.lit(f" exceeds {schema.most[name]}")))).cast(ISSUES)))
         return F.concat(*parts)
 
     code = "payload_type" if depth == 0 else "schema:type"
     none = F.array(F.struct(path.alias("path"), F.lit(code).alias("code"), F.lit("object").alias("reason"))).cast(ISSUES)
-    return F.coalesce(let(_map(v), lambda m: F.when(m.isNotNull(), judged(m))), none)
+    return F.coalesce(let(as_map(v), lambda m: F.when(m.isNotNull(), judged(m))), none)
 
 
 def issues(payload: Column, schema: Schema = CLAIMS) -> Column:
@@ -152,7 +147,7 @@ def outcome(rows: DataFrame, key: str, schema: Schema = CLAIMS, version: str = "
     """rows (key, market_id, payload) with issues, used_fallback, no_trade_flags and the payload that goes on as canonical
     JSON: its own if nothing is wrong, else one without claims that names what was wrong and is flagged."""
     df = rows.select(key, "market_id", "payload", issues(F.col("payload"), schema).alias("issues"))
-    at = F.coalesce(text_at(_map(parsed(F.col("payload"))), "generated_at"), F.lit("unknown"))
+    at = F.coalesce(text_at(as_map(parsed(F.col("payload"))), "generated_at"), F.lit("unknown"))
     none = F.array().cast("array<string>")
     errors = F.transform("issues", lambda i: F.struct(i["code"].alias("code"), i["path"].alias("path"), i["reason"].alias("reason")))
     instead = F.to_json(F.struct(none.alias("claims"), none.alias("claims_raw"), errors.alias("errors"), at.alias("generated_at"), F.col("market_id").cast("string").alias("market_id"), F.array(F.lit(INVALID)).alias("no_trade_flags"), F.lit(version).alias("schema_version")))

@@ -28,10 +28,6 @@ CERTAIN = 0.99
 INFERRED = "inferred:outcomePrices_unique_max_ge_0.99"
 
 
-def _kind(v: Column) -> Column:
-    return F.substring(F.schema_of_variant(v), 1, 5)
-
-
 def _truthy(v: Column) -> Column:
     """Whether a value is there, and not null, empty, zero or false."""
     return v.isNotNull() & ~F.is_variant_null(v) & ~jsons.let(F.to_json(v), lambda t: t.isin("false", '""', "[]", "{}") | F.coalesce(t.try_cast("double") == 0, F.lit(False)))
@@ -39,7 +35,7 @@ def _truthy(v: Column) -> Column:
 
 def _text(v: Column) -> Column:
     """A plain value as trimmed text, null if blank."""
-    return jsons.let(v, lambda x: F.nullif(F.trim(F.when(~_kind(x).isin("OBJEC", "ARRAY", "VOID"), x.try_cast("string"))), F.lit("")))
+    return jsons.let(v, lambda x: F.nullif(F.trim(jsons.plain(x)), F.lit("")))
 
 
 def _first(m: Column, names: list[str]) -> Column:
@@ -47,10 +43,6 @@ def _first(m: Column, names: list[str]) -> Column:
     return F.get(F.filter(F.transform(F.array(*map(F.lit, names)), lambda n: F.try_element_at(m, n)), _truthy), F.lit(0))
 
 
-def _object(v: Column) -> Column:
-    return jsons.let(v, lambda x: F.when(_kind(x) == "OBJEC", x.cast("map<string,variant>")))
-
-
 def instant(v: Column) -> Column:
     """Seconds since 1970 as a number, or ISO 8601, UTC if it says nothing else; null for other text."""
     iso = lambda t: F.when(t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:[0-9]{2})?)?$"), t.try_cast("timestamp"))
@@ -60,8 +52,7 @@ def instant(v: Column) -> Column:
 def as_list(v: Column) -> Column:
     """A list, or the text of one, as an array of variants; null for anything else."""
     opened = lambda x: jsons.let(x.try_cast("string"), lambda t: F.when(F.trim(t).startswith("["), F.try_parse_json(t)))
-    whole = jsons.let(v, lambda x: F.when(_kind(x) == "STRIN", opened(x)).otherwise(x))
-    return jsons.let(whole, lambda x: F.when(_kind(x) == "ARRAY", x.cast("array<variant>")))
+    return jsons.let(v, lambda x: F.coalesce(jsons.as_array(x), F.when(F.substring(F.to_json(x), 1, 1) == '"', jsons.as_array(opened(x)))))
 
 
 def status(m: Column) -> Column:
@@ -73,15 +64,22 @@ def status(m: Column) -> Column:
 
 def parsed(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """payloads with m, the fields of the object in column; rows that hold no object are left out."""
-    return payloads.withColumn("m", _object(jsons.parsed(F.col(column)))).where("m IS NOT NULL")
+    return where_set(payloads, jsons.as_map(jsons.parsed(F.col(column))), "m")
+
+
+def where_set(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """rows with value under name, those without one left out. As a generator it is evaluated once: a filter would be
+    pushed below the projection with all that value is made of, and JSON parsed again for each place that names it."""
+    return rows.select("*", F.explode(F.filter(F.array(value), lambda x: x.isNotNull())).alias(name))
 
 
 def markets(payloads: DataFrame) -> DataFrame:
     """payloads (payload: JSON, ingested_at) to one row per payload that names a market: its fields under whichever name
     they come, the status, and audit, the payload in canonical form. A title falls back on the id."""
     m = F.col("m")
-    df = parsed(payloads).select("*", *[_text(_first(m, names)).alias(c) for c, names in ALIASES.items()], *[instant(_first(m, names)).alias(c) for c, names in TIMES.items()], status(m).alias("status"), jsons.canonical(F.to_variant_object(m)).alias("audit"))
-    return df.where("market_id IS NOT NULL").withColumn("title", F.coalesce("title", "market_id")).drop("m", "payload")
+    df = where_set(parsed(payloads), _text(_first(m, ALIASES["market_id"])), "market_id")
+    df = df.select("*", *[_text(_first(m, names)).alias(c) for c, names in ALIASES.items() if c != "market_id"], *[instant(_first(m, names)).alias(c) for c, names in TIMES.items()], status(m).alias("status"), jsons.canonical(F.to_variant_object(m)).alias("audit"))
+    return df.withColumn("title", F.coalesce("title", "market_id")).drop("m", "payload")
 
 
 def latest(rows: DataFrame) -> DataFrame:
@@ -96,13 +94,13 @@ def tokens(payloads: DataFrame) -> DataFrame:
     m = F.col("m")
     at = lambda k: F.try_element_at(m, F.lit(k))
     pair = lambda t: F.struct(_text(_first(t, TOKEN["outcome"])).alias("outcome"), _text(_first(t, TOKEN["token_id"])).alias("token_id"))
-    own = jsons.let(at("tokens"), lambda x: F.when(_kind(x) == "ARRAY", x.cast("array<variant>")))
-    listed = F.transform(F.filter(F.transform(own, _object), lambda t: t.isNotNull()), pair)
+    own = jsons.as_array(at("tokens"))
+    listed = F.transform(F.filter(F.transform(own, jsons.as_map), lambda t: t.isNotNull()), pair)
     names, ids = as_list(at("outcomes")), as_list(at("clobTokenIds"))
     zipped = jsons.let(F.struct(names.alias("o"), ids.alias("t")), lambda z: F.when(z["o"].isNotNull() & z["t"].isNotNull(), F.transform(F.slice(F.arrays_zip(z["o"].alias("o"), z["t"].alias("t")), F.lit(1), F.least(F.size(z["o"]), F.size(z["t"]))), lambda x: F.struct(_text(x["o"]).alias("outcome"), _text(x["t"]).alias("token_id")))))
     whole = lambda a: F.filter(a, lambda x: x["outcome"].isNotNull() & x["token_id"].isNotNull())
     pairs = jsons.let(whole(listed), lambda a: F.when(F.size(a) > 0, a).otherwise(whole(zipped)))
-    df = parsed(payloads).select("m", _text(_first(m, ALIASES["market_id"])).alias("market_id")).where("market_id IS NOT NULL").withColumn("_row", F.monotonically_increasing_id())
+    df = where_set(parsed(payloads).select("m"), _text(_first(m, ALIASES["market_id"])), "market_id").withColumn("_row", F.monotonically_increasing_id())
     rows = df.select("_row", "market_id", F.posexplode(pairs).alias("i", "x"))
     return rows.groupBy("_row", "market_id", F.col("x.outcome").alias("outcome")).agg(F.max_by("x.token_id", "i").alias("token_id")).drop("_row")
 
@@ -131,9 +129,9 @@ def outcomes(payloads: DataFrame) -> DataFrame:
         top = jsons.let(fit, lambda a: jsons.let(F.array_max(F.transform(a, lambda x: x["p"])), lambda p: F.when(p >= CERTAIN, F.filter(a, lambda x: x["p"] == p))))
         return jsons.let(top, lambda w: F.when(F.size(w) == 1, F.struct(F.get(w, F.lit(0))["o"].alias("outcome"), F.lit(INFERRED).alias("source"))))
 
-    df = parsed(payloads).withColumns({"_names": as_list(at("outcomes")), "_prices": as_list(at("outcomePrices"))})
+    df = where_set(parsed(payloads), _text(_first(m, ALIASES["market_id"])), "market_id").withColumns({"_names": as_list(at("outcomes")), "_prices": as_list(at("outcomePrices"))})
     said = F.get(F.filter(F.transform(F.array(*map(F.lit, EXPLICIT)), lambda k: stated(k, F.col("_names"))), lambda x: x["outcome"].isNotNull()), F.lit(0))
     when = F.coalesce(*[instant(at(k)) for k in RESOLVED])
-    df = df.select(_text(_first(m, ALIASES["market_id"])).alias("market_id"), F.coalesce(said, F.when(F.col("_names").isNotNull() & F.col("_prices").isNotNull(), priced(F.col("_names"), F.col("_prices")))).alias("s"), when.alias("at")).where("market_id IS NOT NULL")
+    df = df.select("market_id", F.coalesce(said, F.when(F.col("_names").isNotNull() & F.col("_prices").isNotNull(), priced(F.col("_names"), F.col("_prices")))).alias("s"), when.alias("at"))
     found = F.col("s").isNotNull()
     return df.select("market_id", found.alias("resolved"), F.col("s.outcome").alias("outcome"), F.when(found, F.col("at")).alias("resolved_ts"), F.coalesce("s.source", F.lit("unresolved")).alias("source"))
