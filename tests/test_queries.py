@@ -63,3 +63,29 @@ def test_asof_carries_rows_over_spans_of_time(spark):
         for r in got.selectExpr("datediff(t, '2024-01-01') AS d", "now.v AS now", "before.v AS before").collect():
             last = lambda d: None if d is None or d < 0 else d // 37 * 370
             assert (r["now"], r["before"]) == (last(None if r["d"] is None else r["d"] - 2), last(None if r["d"] is None else r["d"] - 10))
+
+
+def test_articles_are_prepared_once(spark, tmp_path):
+    """The hashes of an article are made for one table that all steps read, not again for the last one."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import dedupe
+
+    rows = spark.sql("SELECT id AS n, id, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS published_at, 'd' AS domain, concat('u', id DIV 2) AS url FROM range(6)")
+    source = f"{tmp_path}/articles"
+    rows.write.parquet(source)
+    a = spark.read.parquet(source).withColumns({"content_hash": F.sha2("url", 256), "title_hash": F.lit(None).cast("string")})
+    got = dedupe.outcomes(a)
+    assert not any(f.startswith(f"file://{source}") for f in got.inputFiles())
+    assert sorted((r["n"], r["article_id"]) for r in got.collect()) == [(i, i // 2 * 2) for i in range(6)]
+
+
+def test_claims_join_the_first_alike_cluster(spark):
+    """Blank texts are alike, a shorter text takes over, null texts are empty."""
+    from tidemark.operators import claims
+
+    rows = [(1, 4, "a b c d", "2024-01-01", "x"), (1, 2, "A, b c!", "2024-01-02", "x"), (1, 9, None, None, None), (1, 3, "!", None, None), (1, 5, "c d e f g", "2024-01-03", "x"), (2, 1, "a b c d", "2024-01-01", "x"), (None, 7, "a", None, None)]
+    d = spark.createDataFrame(rows, "market_id long, claim_id long, text string, published_at string, domain string")
+    got = sorted((r["market_id"], r["cluster_id"], r["claim_ids"], r["representative_id"], r["representative_text"]) for r in claims.clusters(d).collect())
+    assert got == [(1, 1, [2, 4], 2, "A, b c!"), (1, 2, [5], 5, "c d e f g"), (1, 3, [3, 9], 9, ""), (2, 1, [1], 1, "a b c d")]
+    assert "MapInArrow" in claims.clusters(d)._jdf.queryExecution().executedPlan().toString()

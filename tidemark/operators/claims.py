@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,20 +30,52 @@ def clusters(claims: DataFrame, threshold: float = 0.5) -> DataFrame:
     In the order of publication (unknown last), domain and id each claim joins the first cluster whose representative
     shares enough of its words (Jaccard), or begins one; a shorter text, then a smaller id, takes over as representative.
     Two texts without words are alike. The order matters, so a market is one fold over its sorted claims, whose state is
-    its clusters; sets too different in size are not compared. A market's payload is bounded, markets are dealt out."""
-    item = F.struct(F.col("published_at").isNull().alias("late"), F.col("published_at").alias("published_at"), F.coalesce("domain", F.lit("")).alias("domain"), F.col("claim_id").alias("claim_id"), F.coalesce("text", F.lit("")).alias("text"), claim_tokens(F.col("text")).alias("words"))
+    its clusters, in Arrow batches of markets; sets too different in size are not compared. A market's payload is bounded,
+    markets are dealt out."""
+    item = F.struct(F.col("published_at").isNull().alias("late"), F.col("published_at").alias("published_at"), F.coalesce("domain", F.lit("")).alias("domain"), F.col("claim_id").alias("claim_id"), F.coalesce("text", F.lit("")).alias("text"), normalized_claim(F.col("text")).alias("plain"))
     per = claims.where("market_id IS NOT NULL AND claim_id IS NOT NULL").groupBy("market_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     kind = claims.schema["claim_id"].dataType.simpleString()
-    n, m, both = "size(c.words)", "size(x.words)", "size(array_intersect(c.words, x.words))"
-    alike = f"CASE WHEN {n} = 0 AND {m} = 0 THEN TRUE WHEN least({n}, {m}) < {threshold}D * greatest({n}, {m}) THEN FALSE ELSE {both} >= {threshold}D * ({n} + {m} - {both}) END"
-    hit = f"get(array_compact(transform(s, (c, i) -> IF({alike}, i, NULL))), 0)"
-    new = "named_struct('id', x.claim_id, 'text', x.text, 'words', x.words, 'ids', array(x.claim_id))"
-    better = "(length(x.text), x.claim_id) < (length(c.text), c.id)"
-    joined = f"IF({better}, named_struct('id', x.claim_id, 'text', x.text, 'words', x.words, 'ids', array_append(c.ids, x.claim_id)), named_struct('id', c.id, 'text', c.text, 'words', c.words, 'ids', array_append(c.ids, x.claim_id)))"
-    step = f"element_at(transform(array({hit}), h -> IF(h IS NULL, array_append(s, {new}), transform(s, (c, i) -> IF(i = h, {joined}, c)))), 1)"
-    fold = f"aggregate(items, CAST(array() AS ARRAY<STRUCT<id: {kind}, text: STRING, words: ARRAY<STRING>, ids: ARRAY<{kind}>>>), (s, x) -> {step})"
-    made = per.select("market_id", F.posexplode(F.expr(fold)).alias("i", "c"))
-    return made.select("market_id", (F.col("i") + 1).alias("cluster_id"), F.sort_array("c.ids").alias("claim_ids"), F.col("c.id").alias("representative_id"), F.col("c.text").alias("representative_text"))
+    made = per.select("market_id", "items.claim_id", "items.text", "items.plain").mapInArrow(_folded(threshold), f"market_id {claims.schema['market_id'].dataType.simpleString()}, cluster_id int, claim_ids array<{kind}>, representative_id {kind}, representative_text string")
+    return made.withColumn("claim_ids", F.sort_array("claim_ids"))
+
+
+def _folded(threshold: float):
+    """The fold over markets and their sorted claims. A set of words is one number with a bit for each word of the
+    market, so that two sets are compared by counting bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[], [], [], [], []]
+            ids, texts, plain = (b.column(i).flatten().to_pylist() for i in (1, 2, 3))
+            end = 0
+            for market, size in zip(b.column(0).to_pylist(), b.column(1).value_lengths().to_pylist(), strict=True):
+                start, end = end, end + size
+                bit: dict[str, int] = {}
+                made: list[list] = []  # id, text, words as a number, how many, claims
+                for key, text, line in zip(ids[start:end], texts[start:end], plain[start:end], strict=True):
+                    words = 0
+                    for w in line.split(" ") if line else ():
+                        words |= 1 << bit.setdefault(w, len(bit))
+                    m = words.bit_count()
+                    for c in made:
+                        n = c[3]
+                        if min(n, m) >= threshold * max(n, m):
+                            both = (c[2] & words).bit_count()
+                            if both >= threshold * (n + m - both):
+                                c[4].append(key)
+                                if (len(text), key) < (len(c[1]), c[0]):
+                                    c[:4] = key, text, words, m
+                                break
+                    else:
+                        made.append([key, text, words, m, [key]])
+                for i, c in enumerate(made):
+                    for column, value in zip(out, (market, i + 1, c[4], c[0], c[1]), strict=True):
+                        column.append(value)
+            kind = b.schema.field(1).type.value_type
+            kinds = [b.schema.field(0).type, pa.int32(), pa.list_(kind), kind, pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["market_id", "cluster_id", "claim_ids", "representative_id", "representative_text"])
+
+    return run
 
 
 def canonical(made: DataFrame, most: int = 25) -> DataFrame:
