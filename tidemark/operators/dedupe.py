@@ -28,7 +28,11 @@ def leaders(articles: DataFrame, hours: int = HOURS) -> tuple[DataFrame, str]:
     once: the first of each of its keys is new, what it matches is not, and the rest goes on. Equal keys meet in
     aggregations; titles meet by day, where stored ones are more than `hours` apart and so few. A key shared by very
     many is settled in one round; a title that goes on for days takes a round for each stored article of it."""
-    left, path = staged(_prepared(articles), "articles")
+    return _rounds(*staged(_prepared(articles), "articles"), hours, keep=False)
+
+
+def _rounds(left: DataFrame, path: str, hours: int, keep: bool) -> tuple[DataFrame, str]:
+    """leaders() of a staged table, which is deleted after its round unless it is kept."""
     done, last = None, None
     while True:
         first = lambda key: left.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("n").alias(f"_{key}"))
@@ -43,7 +47,9 @@ def leaders(articles: DataFrame, hours: int = HOURS) -> tuple[DataFrame, str]:
         close = _near(rest, fresh.withColumn("_p", F.col("published_at")).withColumn("_n", F.col("n")), ["_p", "_n"], "inner")
         close = close.where((F.col("_n") <= F.col("n")) & (F.abs(F.unix_micros(F.col("_p").cast("timestamp")) - F.unix_micros(F.col("published_at").cast("timestamp"))) <= hours * 3_600_000_000)).select("n").distinct()
         following, to = staged(rest.join(close, "n", "left_anti").join(fresh.select("n"), "n", "left_anti"), "articles")
-        drop(left, path)
+        if not keep:
+            drop(left, path)
+        keep = False
         left, path, last = following, to, at
         if left.isEmpty():
             drop(left, path)
@@ -59,8 +65,8 @@ def outcomes(articles: DataFrame, hours: int = HOURS) -> DataFrame:
     Of the stored ones that arrived before, the one of equal URL goes before that of equal content, that before the
     nearest in time of equal title and domain, of several the smallest id. Times count as they came in. Rows without a
     URL, hash or domain match nothing by it."""
-    stored, _ = leaders(articles, hours)
-    df = _prepared(articles)
+    df, path = staged(_prepared(articles), "articles")  # hashes and URLs are made once
+    stored, _ = _rounds(df, path, hours, keep=True)
     by = lambda key, name: stored.where(F.col(key).isNotNull()).select(key, F.col("id").alias(name), F.col("n").alias(f"{name}_n"))
     df = df.join(stored.select("n", F.lit(True).alias("new")), "n", "left").join(by("url", "_u"), "url", "left").join(by("content_hash", "_c"), "content_hash", "left")
     near = _near(df.where("new IS NULL"), stored.select("title_hash", "domain", "day", F.col("published_at").alias("_p"), F.col("n").alias("_n"), F.col("id").alias("_i")), ["_p", "_n", "_i"], "inner")
