@@ -6,13 +6,16 @@ class, held by a hash of 128 bits, and classes are joined by setjoin.py. Sets ar
 the few candidates are read again from their documents.
 
 A line goes for one earlier similar line, so not all pairs of a large group of similar lines are needed: each class is
-first compared with the earliest two and the nearest two before it under each of its keys, and only classes that found
-none there are compared with all before them, and this only under keys of more classes.
+first compared with the earliest two and the nearest two before it under a few of its keys, and only classes that found
+none there are compared with all before them, under all keys. Rows of keys are the bulk of the work: they are never
+written, only shuffled, one part of the keys after the other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin
@@ -61,7 +64,7 @@ def _classes(docs: DataFrame, table: Column, least: int) -> DataFrame:
     sets = cut.select("id", "t", "n", F.explode_outer(F.array(_set(F.col("l"), table))).alias("s")).where(F.size("s") >= least)
     b1, b2 = setjoin.signature(F.col("s"))
     size = F.size("s")
-    full = sets.select("id", "t", "n", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), F.col("s")).alias("h2"), size.alias("size"), b1.alias("b1"), b2.alias("b2"), setjoin.keys_of(F.col("s"), size).alias("keys"))
+    full = sets.select("id", "t", "n", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), F.col("s")).alias("h2"), size.alias("size"), b1.alias("b1"), b2.alias("b2"), F.sort_array(F.transform(setjoin.keys_of(F.col("s"), size), lambda k: F.xxhash64(k["key"]))).alias("keys"))
     return full.groupBy("h1", "h2").agg(F.min(F.struct("id", "t", "n")).alias("first"), *[F.first(c).alias(c) for c in ("size", "b1", "b2", "keys")]).drop("h1", "h2")
 
 
@@ -92,24 +95,29 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     discard(found)
     release(spark)
     firsts = written(classes.select("cid", "first"), "firsts")
-    shared = written(setjoin.shared_keys(setjoin.key_rows(classes)), "shared")
-    discard(classes)
-    release(spark)
 
-    def verified(cand: DataFrame) -> DataFrame:
-        """The classes b of the candidates (a, b) that are similar to their a."""
-        cand = written(cand, "candidates")
-        release(spark)
+    def verified(parts: list[DataFrame], *done: DataFrame) -> DataFrame:
+        """The classes b of the candidates (a, b) that are similar to their a; done are tables not needed after them."""
+        found = []
+        for part in parts:
+            found.append(written(part, "candidates"))
+            release(spark)
+        for df in done:
+            discard(df)
+        cand = reduce(DataFrame.unionByName, found).distinct()
         met = cand.select(F.col("a").alias("cid")).unionByName(cand.select(F.col("b").alias("cid"))).distinct()
         sets = _sets_of(src, firsts.join(met, "cid"), table)
         out = written(setjoin.similar(sets, cand).select(F.col("b").alias("gone")).distinct(), "gone")
-        discard(sets)
-        discard(cand)
+        for df in (sets, *found):
+            discard(df)
+        release(spark)
         return out
 
-    near = verified(setjoin.hub_candidates(shared))
-    rest = verified(setjoin.later_candidates(shared, near))
-    discard(shared)
+    near = verified([setjoin.hub_candidates(classes)])
+    signed = written(setjoin.signed(classes, near), "signed")
+    discard(classes)
+    release(spark)
+    rest = verified([setjoin.later_candidates(signed, part) for part in range(setjoin.PARTS)], signed)
     led = firsts.join(near.unionByName(rest), F.col("cid") == F.col("gone"), "left").withColumn("gone", F.col("gone").isNotNull())
     kept = led.groupBy(F.col("first.id").alias("_id"), F.col("first.t").alias("_t")).agg(F.collect_list(F.when(~F.col("gone"), F.col("first.n"))).alias("_kept"), F.count_if("gone").alias("n_similar"))
     kept = written(kept, "kept")

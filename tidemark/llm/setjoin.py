@@ -20,7 +20,8 @@ from .common import written
 NUM, DEN = 4, 5  # the threshold: 0.8
 LINK_LEAST = 4  # smaller sets reach the threshold only when equal
 RARITY_SHIFT = 57  # the bits above hold the rarity class
-FEW = 5  # the first two, the last two and the class itself
+SKETCH = 4  # keys of a class under which it looks for hubs
+PARTS = 2  # shares of the keys that are joined one after the other
 HOT, VERY_HOT = 20, 36  # rarity classes from about 1,000 and 260,000 occurrences
 
 
@@ -61,13 +62,14 @@ def key_rows(classes: DataFrame, *also: str) -> DataFrame:
     return classes.select("cid", "size", "b1", "b2", *also, F.explode("keys").alias("k")).select("k.key", "k.pos", "cid", "size", "b1", "b2", *also)
 
 
-def _close(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
-    """Whether two key rows, given as columns by name, can be similar."""
+def _close(x: Callable[[str], Column], y: Callable[[str], Column], placed: bool = True) -> Column:
+    """Whether two key rows, given as columns by name, can be similar; placed if they hold the places of their keys."""
     need = F.ceil((x("size") + y("size")) * NUM / (NUM + DEN))
-    bound = F.least(x("pos"), y("pos")) + F.least(x("size") - x("pos"), y("size") - y("pos"))
     fits = (x("size") * DEN >= y("size") * NUM) & (y("size") * DEN >= x("size") * NUM)
+    if placed:
+        fits = fits & (F.least(x("pos"), y("pos")) + F.least(x("size") - x("pos"), y("size") - y("pos")) >= need)
     apart = F.bit_count(x("b1").bitwiseXOR(y("b1"))) + F.bit_count(x("b2").bitwiseXOR(y("b2")))
-    return fits & (bound >= need) & (apart <= x("size") + y("size") - 2 * need)
+    return fits & (apart <= x("size") + y("size") - 2 * need)
 
 
 def candidates(left: DataFrame, right: DataFrame, also: Column | None = None) -> DataFrame:
@@ -80,31 +82,38 @@ def candidates(left: DataFrame, right: DataFrame, also: Column | None = None) ->
     return left.alias("x").join(right.alias("y"), on).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
 
-def shared_keys(keys: DataFrame) -> DataFrame:
-    """The key rows that can meet another class: with n, the number of rows of their key, rank, their place among these
-    by cid, and near, those of the first two and the last two classes before them that pass the filters. Rows of small
-    keys without such a class are left out, above all keys of one class alone."""
+def _unplaced(classes: DataFrame, keys: Column) -> DataFrame:
+    """classes (cid, size, b1, b2, keys) to a row per key, without its place: rows are many, and signatures tell more."""
+    return classes.select(F.explode(keys).alias("key"), "cid", "size", "b1", "b2")
+
+
+def hub_candidates(classes: DataFrame) -> DataFrame:
+    """(a, b) with a < b, distinct: of the classes before it each is compared with the first two and the last two that
+    share one of its SKETCH first keys. keys are sorted hashes, so these are a bottom sketch and similar classes are likely
+    to have one in common. Nothing is lost where they have not: later_candidates() looks under all keys."""
     w = Window.partitionBy("key").orderBy("cid")
-    row = F.struct("cid", "size", "pos", "b1", "b2")
+    row = F.struct("cid", "size", "b1", "b2")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     hubs = F.array(F.first(row).over(before), F.nth_value(row, 2).over(before), F.lag(row, 1).over(w), F.lag(row, 2).over(w))
-    placed = keys.select("*", F.row_number().over(w).alias("rank"), F.count("*").over(Window.partitionBy("key")).alias("n"), hubs.alias("hubs")).where("n > 1")
-    met = F.filter("hubs", lambda h: h.isNotNull() & (h["cid"] < F.col("cid")) & _close(lambda n: h[n], F.col))
-    near = F.array_distinct(F.transform(met, lambda h: h["cid"]))
-    return placed.select(*keys.columns, "rank", "n", near.alias("near")).where((F.size("near") > 0) | (F.col("n") > FEW))
+    placed = _unplaced(classes, F.slice("keys", 1, SKETCH)).select("*", hubs.alias("hubs"))
+    met = F.filter("hubs", lambda h: h.isNotNull() & (h["cid"] < F.col("cid")) & _close(lambda n: h[n], F.col, False))
+    return placed.select(F.explode(F.transform(met, lambda h: h["cid"])).alias("a"), F.col("cid").alias("b")).distinct()
 
 
-def hub_candidates(shared: DataFrame) -> DataFrame:
-    """(a, b) with a < b, distinct: of the classes before it each is compared with those in near alone."""
-    return shared.select(F.explode("near").alias("a"), F.col("cid").alias("b")).distinct()
+def signed(classes: DataFrame, gone: DataFrame) -> DataFrame:
+    """classes for later_candidates(): the size of those in gone is negative."""
+    out = gone.select(F.col("gone").alias("cid"), F.lit(True).alias("out"))
+    return classes.join(out, "cid", "left").select("cid", F.when(F.col("out"), -F.col("size")).otherwise(F.col("size")).alias("size"), "b1", "b2", "keys")
 
 
-def later_candidates(shared: DataFrame, gone: DataFrame) -> DataFrame:
-    """(a, b) with a < b, distinct, for the classes b that are not in gone: all others before them. A row among the
-    first FEW of its key has been compared with all of these by its hubs, so only the later ones are joined."""
-    common = shared.where(F.col("n") > FEW).drop("near")
-    later = common.where(F.col("rank") > FEW).join(gone.select(F.col("gone").alias("cid")), "cid", "left_anti")
-    return candidates(common, later, F.col("x.cid") < F.col("y.cid"))
+def later_candidates(classes: DataFrame, part: int) -> DataFrame:
+    """(a, b) with a < b, distinct, for the classes b that are not gone: all others before them that share a key of this
+    part of PARTS. Both sides are the same rows, so that Spark shuffles them once: what is gone is told by a negative size,
+    which fits no class as a b, and not by a filter of one side."""
+    rows = _unplaced(classes, F.col("keys")).where(F.pmod("key", F.lit(PARTS)) == part)
+    whole = lambda n: F.abs("x.size") if n == "size" else F.col(f"x.{n}")
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & _close(whole, lambda n: F.col(f"y.{n}"), False)
+    return rows.alias("x").join(rows.alias("y"), on).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
 
 
 def similar(sets: DataFrame, cand: DataFrame) -> DataFrame:
