@@ -10,7 +10,7 @@ trees of all fingerprints would grow with the input. Of a shard only a spanning
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,17 +29,22 @@ _STEP = 1 << 16
 _BATCH = 200_000
 
 
+def majority(pieces: Iterable[np.ndarray]) -> int:
+    """64 majority bits of hashes, given piece by piece; 0 of none."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in pieces:
+        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, size: int = 3) -> int:
     """64 majority bits of the shingles' hashes; 0 for a text without words. Long texts are summed piece by piece."""
     w = _WORD.findall((text or "").translate(_LOWER))
     if not w:
         return 0
     n = max(1, len(w) - size + 1)
-    ones = np.zeros(64, np.int64)
-    for a in range(0, n, _STEP):
-        h = np.fromiter((xxhash.xxh64_intdigest(" ".join(w[i : i + size]), 42) for i in range(a, min(n, a + _STEP))), "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return majority(np.fromiter((xxhash.xxh64_intdigest(" ".join(w[i : i + size]), 42) for i in range(a, min(n, a + _STEP))), "<u8") for a in range(0, n, _STEP))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
