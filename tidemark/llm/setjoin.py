@@ -62,21 +62,26 @@ def key_rows(classes: DataFrame, *also: str) -> DataFrame:
     return classes.select("cid", "size", "b1", "b2", *also, F.explode("keys").alias("k")).select("k.key", "k.pos", "cid", "size", "b1", "b2", *also)
 
 
-def _close(x: Callable[[str], Column], y: Callable[[str], Column], placed: bool = True) -> Column:
+def most_apart(m: Column, n: Column) -> Column:
+    """The most numbers in which sets of m and n numbers can differ and still reach the threshold."""
+    return m + n - 2 * F.ceil((m + n) * NUM / (NUM + DEN))
+
+
+def close(x: Callable[[str], Column], y: Callable[[str], Column], placed: bool = True) -> Column:
     """Whether two key rows, given as columns by name, can be similar; placed if they hold the places of their keys."""
     need = F.ceil((x("size") + y("size")) * NUM / (NUM + DEN))
     fits = (x("size") * DEN >= y("size") * NUM) & (y("size") * DEN >= x("size") * NUM)
     if placed:
         fits = fits & (F.least(x("pos"), y("pos")) + F.least(x("size") - x("pos"), y("size") - y("pos")) >= need)
     apart = F.bit_count(x("b1").bitwiseXOR(y("b1"))) + F.bit_count(x("b2").bitwiseXOR(y("b2")))
-    return fits & (apart <= x("size") + y("size") - 2 * need)
+    return fits & (apart <= most_apart(x("size"), y("size")))
 
 
 def candidates(left: DataFrame, right: DataFrame, also: Column | None = None) -> DataFrame:
     """(a, b) with a < b, distinct: classes that share a key of left and right (aliased x and y) and pass the filters;
     where left and right are one table, a comes from x."""
     order = F.col("x.cid") < F.col("y.cid") if left is right else F.col("x.cid") != F.col("y.cid")
-    on = (F.col("x.key") == F.col("y.key")) & order & _close(lambda n: F.col(f"x.{n}"), lambda n: F.col(f"y.{n}"))
+    on = (F.col("x.key") == F.col("y.key")) & order & close(lambda n: F.col(f"x.{n}"), lambda n: F.col(f"y.{n}"))
     if also is not None:
         on = on & also
     return left.alias("x").join(right.alias("y"), on).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
@@ -96,7 +101,7 @@ def hub_candidates(classes: DataFrame) -> DataFrame:
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     hubs = F.array(F.first(row).over(before), F.nth_value(row, 2).over(before), F.lag(row, 1).over(w), F.lag(row, 2).over(w))
     placed = _unplaced(classes, F.slice("keys", 1, SKETCH)).select("*", hubs.alias("hubs"))
-    met = F.filter("hubs", lambda h: h.isNotNull() & (h["cid"] < F.col("cid")) & _close(lambda n: h[n], F.col, False))
+    met = F.filter("hubs", lambda h: h.isNotNull() & (h["cid"] < F.col("cid")) & close(lambda n: h[n], F.col, False))
     return placed.select(F.explode(F.transform(met, lambda h: h["cid"])).alias("a"), F.col("cid").alias("b")).distinct()
 
 
@@ -112,7 +117,7 @@ def later_candidates(classes: DataFrame, part: int) -> DataFrame:
     which fits no class as a b, and not by a filter of one side."""
     rows = _unplaced(classes, F.col("keys")).where(F.pmod("key", F.lit(PARTS)) == part)
     whole = lambda n: F.abs("x.size") if n == "size" else F.col(f"x.{n}")
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & _close(whole, lambda n: F.col(f"y.{n}"), False)
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & close(whole, lambda n: F.col(f"y.{n}"), False)
     return rows.alias("x").join(rows.alias("y"), on).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
 
 
