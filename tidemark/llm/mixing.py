@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, release, written
@@ -38,6 +38,8 @@ SLICES, ROUNDS = 48, 3  # gradient steps in a round over a block's contexts, and
 START = (0.2, 0.25, 0.3, 0.4)
 PRIOR = 0.4
 WORD_ROW, NEED_ROW = -1, -2
+#: The bits of each byte as signs.
+SIGN = np.where((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1 == 1, np.float32(1), np.float32(-1))
 END = b" "  # the end token: a blank, which no word holds
 
 
@@ -209,7 +211,7 @@ class Mixer:
             for i in range(m):
                 q = backs[i][a : a + SEGMENT]
                 at[i, : len(q)], there[i, : len(q), 0] = q, 1
-            d, sign = mixed.take(at, 0), self.sign.take(at, 0)
+            d, sign = mixed.take(at, 0), SIGN.take(self.byte.take(at), 0)
             e = scale[:m] * d
             e += offset[:m] * sign
             np.clip(e, -10, 10, out=e)
@@ -234,7 +236,7 @@ def _prepared(model: Model, mixer: Mixer, texts: list[bytes], less: float) -> tu
     longs = [longest(_bytes(t)) for t in texts]
     u, back = _numbered(np.concatenate(longs))
     x, seen = _inputs(model, u, less)
-    mixer.sign = np.where((u[:, None] >> np.arange(7, -1, -1, dtype=np.uint64)) & np.uint64(1) == 1, np.float32(1), np.float32(-1))
+    mixer.byte = (u & np.uint64(255)).astype(np.uint8)
     return x, seen, np.split(back, np.cumsum([len(v) for v in longs])[:-1])
 
 
@@ -254,14 +256,26 @@ def _inputs(model: Model, u: np.ndarray, less: float) -> tuple[np.ndarray, np.nd
     return x, seen
 
 
+def packed() -> Column:
+    """next and n in one number, for what is shuffled by block: a column less is a good part of the bytes."""
+    return F.shiftleft("n", 9).bitwiseOR(F.col("next").cast("long") + 1).alias("m")
+
+
+def unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ctx, next and n of rows (ctx, m)."""
+    m = rows["m"].to_numpy()
+    return rows["ctx"].to_numpy().view(np.uint64), (m & 511).astype(np.int16) - np.int16(1), m >> 9
+
+
 def taught(own: pa.Table, look: pa.Table) -> pa.Table:
     """One block's weights (place, w, n): own is what gather() made of its longest contexts, n the training bytes behind
     a weight."""
-    ctx, nxt, n = look["ctx"].to_numpy().view(np.uint64), look["next"].to_numpy(), look["n"].to_numpy()
+    ctx, nxt, n = unpacked(look)
     of = nxt != WORD_ROW
-    u = ((own["ctx"].to_numpy().view(np.uint64) & np.uint64((1 << 32) - 1)) << np.uint64(8)) | own["next"].to_numpy().astype(np.uint64)
+    at, byte, many = unpacked(own)
+    u = ((at & np.uint64((1 << 32) - 1)) << np.uint64(8)) | byte.astype(np.uint64)
     o = np.argsort(u * np.uint64(0x9E3779B97F4A7C15))
-    u, many = u[o], own["n"].to_numpy()[o]
+    u, many = u[o], many[o]
     mixer = Mixer()
     if len(u):
         x, level = _inputs(Model(ctx[of], nxt[of], n[of]), u, 1.0)
@@ -275,7 +289,7 @@ def taught(own: pa.Table, look: pa.Table) -> pa.Table:
 
 def _weights(gathered: DataFrame, looked: DataFrame) -> np.ndarray:
     """The weights of all blocks averaged, START where no training text reaches."""
-    own = gathered.where((F.col("next") >= 0) & (F.shiftright("ctx", 32) == ORDERS[-1]))
+    own = gathered.where((F.col("next") >= 0) & (F.shiftright("ctx", 32) == ORDERS[-1])).select("block", "ctx", packed())
     each = own.groupBy("block").cogroup(looked.groupBy("block")).applyInArrow(taught, "place int, w double, n long")
     w = Mixer().w.reshape(-1)
     for r in each.where("n > 0").groupBy("place").agg(F.round(F.sum(F.col("w") * F.col("n")) / F.sum("n"), 6).alias("w")).collect():
@@ -294,14 +308,14 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     blocks = max(1, -(-total // BLOCK))
     src = src.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
     row = "ctx long, next short, n long, block int"
-    gathered = written(src.groupBy("block").applyInArrow(gather, row), "gathered")
+    gathered = written(src.groupBy("block").applyInArrow(gather, row), "gathered", "zstd")
     release(spark)
-    counts = written(gathered.where(F.col("next") != NEED_ROW).repartition("ctx").groupBy("ctx", "next").agg(F.sum("n").alias("n")), "counts")
+    counts = written(gathered.where(F.col("next") != NEED_ROW).repartition("ctx").groupBy("ctx", "next").agg(F.sum("n").alias("n")), "counts", "zstd")
     release(spark)
     sums = counts.where(F.col("next") == WORD_ROW).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_all, n_words = int(sums[0]), int(sums[1])
     need = gathered.where(F.col("next") < 0).select("ctx", "block")
-    looked = written(need.join(counts, "ctx").select("block", "ctx", "next", "n"), "looked")
+    looked = written(need.join(counts, "ctx").select("block", "ctx", packed()), "looked", "zstd")
     discard(counts)
     release(spark)
     weights = _weights(gathered, looked)
@@ -310,7 +324,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     kind = src.schema["id"].dataType.simpleString()
 
     def run(rows: pa.Table, look: pa.Table) -> pa.Table:
-        ctx, nxt, n = look["ctx"].to_numpy().view(np.uint64), look["next"].to_numpy(), look["n"].to_numpy()
+        ctx, nxt, n = unpacked(look)
         word = nxt == WORD_ROW
         count = dict(zip(ctx[word].tolist(), n[word].tolist(), strict=True))
         model, mixer = Model(ctx[~word], nxt[~word], n[~word]), Mixer()
