@@ -29,11 +29,12 @@ _NAME = f"<p>{_SLOT}"
 UNITS = ("%", "mm", "cm", "m", "km", "g", "kg", "mg", "ml", "l", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "miles", "feet", "inches", "dollars", "euros", "usd", "eur", "meters", "metres", "pounds", "degrees")
 
 
-def _sequences(df: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
+def _sequences(df: DataFrame, id_col: str, text_col: str, out: str, slots: bool = True) -> DataFrame:
     """(out, x, r): x has the words of each text, a run of names as one, with their template hash k (of the lower-case
     word or its placeholder), whether they are a slot, and the hashed value v; r has the hashes of the lower-case words
-    alone. Cheap comparisons stand before each pattern, since this sees every word."""
-    bare = F.transform("w", lambda x: F.btrim(x, F.lit(PUNCTUATION)))
+    alone. Without slots x has the template hashes only. Cheap comparisons stand before each pattern, since this sees every word."""
+    # btrim() takes its time with every word, so it is left to words that hold more than plain letters and digits.
+    bare = F.transform("w", lambda x: F.when(x.rlike("[^A-Za-z0-9]"), F.btrim(x, F.lit(PUNCTUATION))).otherwise(x))
     df = df.select(F.col(id_col).alias(out), words(F.col(text_col)).alias("w")).withColumn("b", bare)
     w, b = F.col("w"), F.col("b")
     number = lambda x: (x >= "0") & (x < ":") & x.rlike(r"^[0-9][0-9.,]*%?$")
@@ -51,7 +52,10 @@ def _sequences(df: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame
     df = df.select(out, one.alias("one"), raw.alias("r"))
     df = df.select(out, "r", F.when(F.col("one") != "", F.split("one", _NEXT)).otherwise(F.array().cast("array<string>")).alias("one"))
     slot = lambda y: F.substring(y, 4, 1) == _SLOT
-    return df.select(out, F.transform("one", lambda y: F.struct(F.xxhash64(F.when(slot(y), F.substring(y, 1, 3)).otherwise(y)).alias("k"), slot(y).alias("slot"), F.xxhash64(y).alias("v"))).alias("x"), "r")
+    k = lambda y: F.xxhash64(F.when(slot(y), F.substring(y, 1, 3)).otherwise(y))
+    if not slots:
+        return df.select(out, F.transform("one", k).alias("x"), "r")
+    return df.select(out, F.transform("one", lambda y: F.struct(k(y).alias("k"), slot(y).alias("slot"), F.xxhash64(y).alias("v"))).alias("x"), "r")
 
 
 def _cut(seq, of, lengths: list[int] | None):
@@ -71,7 +75,7 @@ def _cut(seq, of, lengths: list[int] | None):
 def window_hashes(df: DataFrame, id_col: str, text_col: str, out: str, lengths: tuple[list[int], list[int]]) -> DataFrame:
     """(out, h) of every window, of templates and of plain words: all that a document without a benchmark window ever
     costs."""
-    df = _sequences(df, id_col, text_col, out).select(out, F.transform("x", lambda y: y["k"]).alias("k"), "r")
+    df = _sequences(df, id_col, text_col, out, False).withColumnRenamed("x", "k")
     hashes = [_cut(F.col(c), lambda i, size, c=c: F.xxhash64(F.slice(c, i, size)), at) for c, at in zip(("k", "r"), lengths, strict=True)]
     return df.select(out, F.explode_outer(F.concat(*hashes)).alias("h"))
 
