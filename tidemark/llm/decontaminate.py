@@ -13,15 +13,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words, written
+from .common import written
 
 WINDOW = 8
+BLOCK = 4  # 2 * BLOCK - 1 <= WINDOW
 MIN_LITERALS = 3
 MIN_WINDOWS = 4
 MIN_SHARE = 50  # per cent of an item's windows that suffices below MIN_WINDOWS
 BROADCAST_ROWS = 2_000_000
 #: Characters taken off both ends of a word. Fixed values.
 PUNCTUATION = "!\"#$&'()*+,-./:;<=>?@[\\]^_`{|}~“”„‟‘’‚‛«»‹›–—―…·•¿¡§¶†‡°′″"
+
+
+def _class(chars: str) -> str:
+    """A pattern of one of chars that tells letters apart in few steps: Java tests each character beyond Latin-1 of a
+    class by itself, so they are named by their range less its others."""
+    code = lambda c: f"\\x{{{c:x}}}"
+    high = {ord(c) for c in chars if c > "\xff"}
+    others = "".join(code(c) for c in range(min(high), max(high)) if c not in high)
+    return f"[{''.join(code(ord(c)) for c in chars if c <= chr(255))}[{code(min(high))}-{code(max(high))}&&[^{others}]]]"
+
+
+#: Spaces that are not one blank; runs of punctuation at either end of words that one blank divides, others as group 1.
+_SPACES = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
+_ENDS = "(?<![^ ])P++|P++(?![^ ])|(P{2,}+)".replace("P", _class(PUNCTUATION))
 #: Marks of slots, their ends and of the next word; _NAME begins a name.
 _NEXT, _SLOT, _END = "\x01", "\x02", "\x04"
 _NAME = f"<p>{_SLOT}"
@@ -32,26 +47,29 @@ UNITS = ("%", "mm", "cm", "m", "km", "g", "kg", "mg", "ml", "l", "s", "sec", "se
 def _sequences(df: DataFrame, id_col: str, text_col: str, out: str, slots: bool = True) -> DataFrame:
     """(out, x, r): x has the words of each text, a run of names as one, with their template hash k (of the lower-case
     word or its placeholder), whether they are a slot, and the hashed value v; r has the hashes of the lower-case words
-    alone. Without slots x has the template hashes only. Cheap comparisons stand before each pattern, since this sees every word."""
-    # btrim() takes its time with every word, so it is left to words that hold more than plain letters and digits.
-    bare = F.transform("w", lambda x: F.when(x.rlike("[^A-Za-z0-9]"), F.btrim(x, F.lit(PUNCTUATION))).otherwise(x))
-    df = df.select(F.col(id_col).alias(out), words(F.col(text_col)).alias("w")).withColumn("b", bare)
-    w, b = F.col("w"), F.col("b")
+    alone. Without slots x has the template hashes only. What can be done to a whole text by one pattern is not done to
+    its words, and cheap comparisons stand before each pattern, since this sees every word."""
+    # One blank between words, so that the words of both texts, of which b has no punctuation at their ends, lie alike.
+    t = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), _SPACES, " "))
+    df = df.select(F.col(id_col).alias(out), t.alias("t")).withColumn("u", F.regexp_replace("t", _ENDS, "$1"))
+    df = df.select(out, F.split("t", " ").alias("w"), F.split("u", " ").alias("b"), F.split(F.lower("u"), " ").alias("l"))
+    w, b, low = F.col("w"), F.col("b"), F.col("l")
     number = lambda x: (x >= "0") & (x < ":") & x.rlike(r"^[0-9][0-9.,]*%?$")
     units = F.array(*[F.lit(u) for u in UNITS])
 
     def item(x, i):
-        name = (x != F.lower(x)) & x.rlike(r"^\p{Lu}") & (i > 0) & ~F.coalesce(F.get(w, i - 1).rlike(r"[.!?:][^\p{L}\p{N}]*$"), F.lit(True))
-        unit = F.coalesce(number(F.get(b, i - 1)), F.lit(False)) & F.array_contains(units, F.lower(x))
-        as_slot = F.when(number(x), F.concat(F.lit(f"<n>{_SLOT}"), x)).when(unit, F.concat(F.lit(f"<u>{_SLOT}"), F.lower(x))).when(name, F.concat(F.lit(_NAME), F.lower(x), F.lit(_END)))
-        return F.when(x != "", F.coalesce(as_slot, F.lower(x)))
-
-    # Neighbouring names are joined in the text of all marked words, which takes one pass.
-    one = F.replace(F.array_join(F.array_compact(F.transform(b, item)), _NEXT), F.lit(_END + _NEXT + _NAME), F.lit(" "))
-    raw = F.transform(F.filter(b, lambda x: x != ""), lambda x: F.xxhash64(F.lower(x)))
+        y = F.get(low, i)
+        name = (x != y) & x.rlike(r"^\p{Lu}") & (i > 0) & ~F.coalesce(F.get(w, i - 1).rlike(r"[.!?:][^\p{L}\p{N}]*$"), F.lit(True))
+        unit = F.coalesce(number(F.get(b, i - 1)), F.lit(False)) & F.array_contains(units, y)
+        as_slot = F.when(number(x), F.concat(F.lit(f"<n>{_SLOT}"), x)).when(unit, F.concat(F.lit(f"<u>{_SLOT}"), y)).when(name, F.concat(F.lit(_NAME), y, F.lit(_END)))
+        return F.when(x != "", F.coalesce(as_slot, y))
+
+    # Neighbouring names are joined in the text of all marked words, which takes one pass. array_join() leaves nulls out.
+    one = F.replace(F.array_join(F.transform(b, item), _NEXT), F.lit(_END + _NEXT + _NAME), F.lit(" "))
+    raw = F.transform(F.array_remove(low, ""), lambda x: F.xxhash64(x))
     df = df.select(out, one.alias("one"), raw.alias("r"))
     df = df.select(out, "r", F.when(F.col("one") != "", F.split("one", _NEXT)).otherwise(F.array().cast("array<string>")).alias("one"))
-    slot = lambda y: F.substring(y, 4, 1) == _SLOT
+    slot = lambda y: (y >= "<") & (y < "=") & (F.substring(y, 4, 1) == _SLOT)
     k = lambda y: F.xxhash64(F.when(slot(y), F.substring(y, 1, 3)).otherwise(y))
     if not slots:
         return df.select(out, F.transform("one", k).alias("x"), "r")
@@ -72,12 +90,19 @@ def _cut(seq, of, lengths: list[int] | None):
     return F.concat(*[each(size) for size in lengths])
 
 
-def window_hashes(df: DataFrame, id_col: str, text_col: str, out: str, lengths: tuple[list[int], list[int]]) -> DataFrame:
-    """(out, h) of every window, of templates and of plain words: all that a document without a benchmark window ever
-    costs."""
+def block_hashes(df: DataFrame, id_col: str, text_col: str, out: str, short: tuple[list[int], list[int]], step: int = BLOCK) -> DataFrame:
+    """(out, h) of the blocks of BLOCK words at every step-th word, of templates and of plain words, and of all windows of
+    the short lengths. Every window of WINDOW words holds one whole block of those at every BLOCK-th word, so a document
+    that shares no block with any block of the benchmark shares no window: this is all that it ever costs."""
     df = _sequences(df, id_col, text_col, out, False).withColumnRenamed("x", "k")
-    hashes = [_cut(F.col(c), lambda i, size, c=c: F.xxhash64(F.slice(c, i, size)), at) for c, at in zip(("k", "r"), lengths, strict=True)]
-    return df.select(out, F.explode_outer(F.concat(*hashes)).alias("h"))
+
+    def hashes(c, lengths):
+        seq = F.col(c)
+        starts = F.when(F.size(seq) >= BLOCK, F.sequence(F.lit(1), F.size(seq) - BLOCK + 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        blocks = F.transform(starts, lambda i: F.xxhash64(F.slice(seq, i, BLOCK)))
+        return F.concat(blocks, _cut(seq, lambda i, size: F.xxhash64(F.slice(seq, i, size)), lengths)) if lengths else blocks
+
+    return df.select(out, F.explode_outer(F.concat(*[hashes(c, at) for c, at in zip(("k", "r"), short, strict=True)])).alias("h"))
 
 
 def templates(df: DataFrame, id_col: str, text_col: str, out: str, lengths: tuple[list[int] | None, list[int] | None] = (None, None)) -> DataFrame:
@@ -107,7 +132,7 @@ def templates(df: DataFrame, id_col: str, text_col: str, out: str, lengths: tupl
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc, item, windows, share): contaminated pairs, once per alignment of templates and once for plain words. A
-    first pass over all documents computes window hashes alone; only documents that share one with the benchmark are
+    first pass over all documents computes hashes of blocks alone; only documents that share one with the benchmark are
     aligned."""
     bench = written(templates(benchmark.select(item_col, item_text).distinct(), item_col, item_text, "item"), "bench")
     short = {(r["plain"], r["size"]) for r in bench.where(F.col("size") < WINDOW).select("plain", "size").distinct().collect()}
@@ -116,7 +141,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     small = bench.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     held = F.broadcast if small else lambda df: df
     sizes = bench.groupBy("item", "plain").agg(F.countDistinct("ipos").alias("n")).withColumnsRenamed({"item": "si", "plain": "sp"})
-    meets = window_hashes(docs, id_col, text_col, "_met", lengths).join(held(bench.select("h").distinct()), "h", "left_semi")
+    # Windows of the short lengths are sought among the benchmark's windows, blocks among its blocks.
+    blocks = block_hashes(benchmark, item_col, item_text, "item", ([], []), 1).select("h").unionByName(bench.select("h")).where("h IS NOT NULL")
+    meets = block_hashes(docs, id_col, text_col, "_met", tuple(n[1:] for n in lengths)).join(held(blocks.distinct()), "h", "left_semi")
     met = written(meets.select("_met").distinct(), "met")
     near = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(met, F.col("_id").eqNullSafe(F.col("_met")), "left_semi")
     seen = templates(near, "_id", "_text", "doc", lengths)
