@@ -6,7 +6,7 @@ round no longer lowers their number by a thousandth. A bin carries the list of i
 capacity has tokens, so a row's size is bounded.
 
 Ids of a text are those of its words one after the other, since the tokenizer merges within words only. So each task
-encodes a word once and keeps its ids (at most CACHE words, then it begins anew, which costs time only); texts with
+encodes a word once and keeps its ids (the last CACHE to 2 * CACHE words it met, so that frequent ones stay); texts with
 characters that its normalizer or word pattern treats in ways not followed here go through the tokenizer whole.
 """
 
@@ -31,9 +31,10 @@ END_ID = 1
 FULL = 0.999  # a bin this full leaves the tree at once
 FAN_IN = 8
 LAST_ROWS = 500_000
-CACHE = 300_000
-#: Characters outside of these are left to the tokenizer itself: so are strings of its special tokens.
-_OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\u012f\u0131-\u017f‘’“”–—…€]|<\\|")
+CACHE = 400_000
+#: Characters outside of these are left to the tokenizer itself: so are strings of its special tokens, which begin with _MARK.
+_OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\u012f\u0131-\u017f‘’“”–—…€]")
+_MARK = "<|"
 #: Words of the tokenizer's pre-tokenizer, in lower-case texts without such: letters, contractions, single digits, all
 #: else. Fixed values.
 _WORDS = re.compile("[a-z\xdf-\xf6\xf8-\u017f]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\s0-9a-z\xdf-\xf6\xf8-\u017f]+")
@@ -48,6 +49,7 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         # Each word ends with one token that carries the vocabulary's mark of word ends.
         vocabulary = self.tok.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -68,7 +70,7 @@ class Encoder:
         split: list[list[str] | None] = []
         new: set[str] = set()
         for t in texts:
-            if _OTHER.search(t):
+            if _MARK in t or _OTHER.search(t):
                 split.append(None)
                 continue
             words = _WORDS.findall((t if t.isascii() or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)).lower())
@@ -81,8 +83,12 @@ class Encoder:
     def learn_new(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > CACHE:
-            self.known.clear()
+            self.before, self.known = self.known, {}
             new = list(words)
+        if self.before:
+            old = self.before
+            self.known.update((w, old[w]) for w in new if w in old)
+            new = [w for w in new if w not in old]
         for a in range(0, len(new), 20_000):
             self.learn(new[a : a + 20_000])
 
