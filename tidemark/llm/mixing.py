@@ -200,17 +200,15 @@ class Mixer:
 
     def _refined(self, mixed: np.ndarray, backs: list[np.ndarray]) -> np.ndarray:
         size = np.array([len(b) for b in backs])
+        flat, start, step = np.concatenate(backs), (np.cumsum(size) - size)[:, None], np.arange(SEGMENT)
         spent = np.zeros(len(backs))
         scale, offset = np.ones((len(backs), 1, 8), np.float32), np.zeros((len(backs), 1, 8), np.float32)
         # The bit taken is always the target 1, so the offset acts with the sign of the bit itself.
-        for a in range(0, int(size[0]) if len(size) else 0, SEGMENT):
+        for a in range(0, int(size[0]), SEGMENT):
             m = int((size > a).sum())
             full = size[m - 1] >= a + SEGMENT
-            at = np.zeros((m, SEGMENT), np.int64)
-            there = np.zeros((m, SEGMENT, 1), np.float32)
-            for i in range(m):
-                q = backs[i][a : a + SEGMENT]
-                at[i, : len(q)], there[i, : len(q), 0] = q, 1
+            # Past the end of a text its last byte stands, which counts for nothing.
+            at = flat.take(start[:m] + (a + step if full else np.minimum(a + step, size[:m, None] - 1)))
             d, sign = mixed.take(at, 0), SIGN.take(self.byte.take(at), 0)
             e = scale[:m] * d
             e += offset[:m] * sign
@@ -222,10 +220,13 @@ class Mixer:
             whole = bits[0] * bits[1]
             for j in range(2, 8):
                 whole *= bits[j]
-            spent[:m] += (np.log2(whole).reshape(m, SEGMENT) * there[:, :, 0]).sum(1, dtype=np.float64)
+            bits = np.log2(whole).reshape(m, SEGMENT)
             e /= q
             if not full:
-                e *= there
+                there = a + step < size[:m, None]
+                bits *= there
+                e *= there[:, :, None]
+            spent[:m] += bits.sum(1, dtype=np.float64)
             scale[:m, 0] = np.clip(scale[:m, 0] + FINE * np.einsum("msj,msj->mj", e, d), 0.25, 4)
             offset[:m, 0] = np.clip(offset[:m, 0] + FINE * np.einsum("msj,msj->mj", e, sign), -4, 4)
         return spent
