@@ -64,7 +64,10 @@ def _classes(docs: DataFrame, table: Column, least: int) -> DataFrame:
     sets = cut.select("id", "t", "n", F.explode_outer(F.array(_set(F.col("l"), table))).alias("s")).where(F.size("s") >= least)
     b1, b2 = setjoin.signature(F.col("s"))
     size = F.size("s")
-    full = sets.select("id", "t", "n", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), F.col("s")).alias("h2"), size.alias("size"), b1.alias("b1"), b2.alias("b2"), F.sort_array(F.transform(setjoin.keys_of(F.col("s"), size), lambda k: F.xxhash64(k["key"]))).alias("keys"))
+    # Pairs that reach LONG have keys of their own; the prefixes of long lines have very many.
+    few = F.when(size < setjoin.LONG, F.transform(setjoin.keys_of(F.col("s"), size), lambda k: F.xxhash64(k["key"]))).otherwise(F.array().cast("array<bigint>"))
+    keys = F.concat(few, setjoin.long_keys_of(F.col("s"), size))
+    full = sets.select("id", "t", "n", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), F.col("s")).alias("h2"), size.alias("size"), b1.alias("b1"), b2.alias("b2"), F.sort_array(keys).alias("keys"))
     return full.groupBy("h1", "h2").agg(F.min(F.struct("id", "t", "n")).alias("first"), *[F.first(c).alias(c) for c in ("size", "b1", "b2", "keys")]).drop("h1", "h2")
 
 

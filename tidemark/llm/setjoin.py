@@ -19,9 +19,13 @@ from .common import written
 
 NUM, DEN = 4, 5  # the threshold: 0.8
 LINK_LEAST = 4  # smaller sets reach the threshold only when equal
+LONG = 40  # from this size on sets have keys by shares of the hash space, see long_keys_of()
+SHARE_BITS = 38
 RARITY_SHIFT = 57  # the bits above hold the rarity class
 SKETCH = 4  # keys of a class under which it looks for hubs
-PARTS = 2  # shares of the keys that are joined one after the other
+PARTS = 4  # shares of the keys that are joined one after the other
+BACK = (1, 2, 4, 8, 16, 32, 64, 128, 256, 512)  # places before a class where it looks for hubs
+HUBS = 2  # links to hubs that a key gives at most
 HOT, VERY_HOT = 20, 36  # rarity classes from about 1,000 and 260,000 occurrences
 
 
@@ -48,6 +52,39 @@ def keys_of(r: Column, size: Column) -> Column:
     return F.when(size >= LINK_LEAST, F.flatten(F.transform(F.slice(r, 1, p), of))).otherwise(none)
 
 
+def _bounds() -> list[int]:
+    """Least sizes of the spans of long sets; no set and its similar ones reach over more than two of them."""
+    out = [LONG]
+    while out[-1] < 1 << 27:
+        out.append(-(-out[-1] * DEN // NUM))
+    return out
+
+
+def long_keys_of(s: Column, size: Column) -> Column:
+    """array<bigint>, keys of sets of LONG numbers or more and of those similar to them; about half as many as numbers,
+    where triples of a prefix would grow with the cube. Similar sets whose larger one lies in a span of sizes differ in
+    fewer numbers than the span has shares of the hash space, so one share holds the same numbers of both, be it none."""
+    bounds = F.array(*[F.lit(b) for b in _bounds()])
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), 0)  # noqa: E731  (x is evaluated once)
+
+    def of(u, shares):
+        share = lambda x: F.shiftright(x * shares, SHARE_BITS)
+        begin = F.filter(F.transform(u, lambda x, i: F.when((i == 0) | (share(x) != share(F.get(u, i - 1))), i)), lambda i: i.isNotNull())
+        held = lambda b: F.transform(b, lambda i, j: F.xxhash64(shares, share(F.get(u, i)), F.slice(u, i + 1, F.coalesce(F.get(b, j + 1), F.size(u)) - i)))
+        none = lambda b: F.transform(F.array_except(F.sequence(F.lit(0).cast("long"), shares - 1), F.transform(b, lambda i: share(F.get(u, i)))), lambda q: F.xxhash64(shares, q))
+        return bound(begin, lambda b: F.concat(held(b), none(b)))
+
+    def spans(n):
+        """The numbers of shares in n's own span and, where similar sets reach it, the next."""
+        shares = lambda i: F.floor(2 * (F.get(bounds, i + 1) - 1) / (NUM + DEN)).cast("long") + 1
+        both = bound(F.size(F.filter(bounds, lambda b: b <= n)), lambda i: F.array(F.when(i > 0, shares(i - 1)), F.when(n * DEN >= F.get(bounds, i) * NUM, shares(i))))
+        return F.filter(both, lambda x: x.isNotNull())
+
+    u = F.sort_array(F.transform(s, lambda v: F.xxhash64(v).bitwiseAND(F.lit((1 << SHARE_BITS) - 1))))
+    keys = bound(u, lambda v: F.flatten(F.transform(spans(F.size(v)), lambda n: of(v, n))))
+    return F.when(size * DEN >= LONG * NUM, keys).otherwise(F.array().cast("array<bigint>"))
+
+
 def signature(s: Column) -> tuple[Column, Column]:
     seventh = lambda v: F.shiftrightunsigned(v, 6).bitwiseAND(F.lit(1).cast("long"))
 
@@ -93,16 +130,18 @@ def _unplaced(classes: DataFrame, keys: Column) -> DataFrame:
 
 
 def hub_candidates(classes: DataFrame) -> DataFrame:
-    """(a, b) with a < b, distinct: of the classes before it each is compared with the first two and the last two that
-    share one of its SKETCH first keys. keys are sorted hashes, so these are a bottom sketch and similar classes are likely
-    to have one in common. Nothing is lost where they have not: later_candidates() looks under all keys."""
+    """(a, b) with a < b, distinct: of the classes before it each is compared, under each of its SKETCH first keys, with
+    the first two and those BACK places before it, and meets the first HUBS of them that can be similar. keys are sorted
+    hashes, so these are a bottom sketch and similar classes are likely to have one in common. Hubs are spread over the whole
+    of a large group, so that few of its classes find none. Nothing is lost where they do: later_candidates() looks under all keys."""
     w = Window.partitionBy("key").orderBy("cid")
     row = F.struct("cid", "size", "b1", "b2")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    hubs = F.array(F.first(row).over(before), F.nth_value(row, 2).over(before), F.lag(row, 1).over(w), F.lag(row, 2).over(w))
+    hubs = F.array(F.first(row).over(before), F.nth_value(row, 2).over(before), *[F.lag(row, n).over(w) for n in BACK])
     placed = _unplaced(classes, F.slice("keys", 1, SKETCH)).select("*", hubs.alias("hubs"))
     met = F.filter("hubs", lambda h: h.isNotNull() & (h["cid"] < F.col("cid")) & close(lambda n: h[n], F.col, False))
-    return placed.select(F.explode(F.transform(met, lambda h: h["cid"])).alias("a"), F.col("cid").alias("b")).distinct()
+    near = F.slice(F.array_distinct(F.transform(met, lambda h: h["cid"])), 1, HUBS)
+    return placed.select(F.explode(near).alias("a"), F.col("cid").alias("b")).distinct()
 
 
 def signed(classes: DataFrame, gone: DataFrame) -> DataFrame:
