@@ -55,6 +55,10 @@ def discard(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished steps now; it acts only on what the driver's JVM has
-    found unreachable, which would else wait for its next full collection."""
+    found unreachable, which would else wait for its next full collection. Events that listeners have yet to take hold
+    the last step's plan, and with it its shuffle files."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    # The first collection only ends what the cleaner's references hang on.
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()

@@ -1,13 +1,13 @@
 """Near-duplicate lines: an exact set-similarity join over lines, with DataFrame functions only.
 
-A line is the set of its lower-cased words as hashes of 57 bits, ordered by rarity: the total count of a word's
-bucket out of BUCKETS, a table of bounded size (any order that all lines share is exact). Lines with equal sets form a
-class, held by a hash of 128 bits, and classes are joined by setjoin.py. Sets are not shuffled with the keys: those of
-the few candidates are read again from their documents.
+A line is the set of its lower-cased words as hashes of 63 bits. Lines with equal sets form a class, held by a hash of 128
+bits, and classes are joined by setjoin.py. Its keys are shares of the hash space and need no counts of words. They are
+made from the upper half of the hashes, which also settles all candidates but those close to the threshold; for these the
+sets are read again from their documents.
 
 A line goes for one earlier similar line, so not all pairs of a large group of similar lines are needed: each class is
-first compared with the earliest two and the nearest two before it under a few of its keys, and only classes that found
-none there are compared with all before them, under all keys. Rows of keys are the bulk of the work: they are never
+first compared with the earliest two and the nearest two before it under a few pairs of its numbers, and only classes that
+found none there are compared with all before them, under all keys. Rows of keys are the bulk of the work: they are never
 written, only shuffled, one part of the keys after the other.
 """
 
@@ -22,7 +22,8 @@ from . import setjoin
 from .common import discard, release, written
 
 MIN_WORDS = 5  # by default; the queries take every line with a word
-BUCKETS = 1 << 18
+RARE = 6  # bytes
+FLAG = 63 - setjoin.NUMBER_BITS  # of the numbers, the lowest bit of those that make keys
 _FROM, _TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,33 +43,28 @@ def _words(text: Column) -> Column:
 
 
 def _rarity(docs: DataFrame, text_col: str) -> Column:
-    """Rarity classes of the hash buckets of words as one constant array; its size does not grow with the input."""
-    rows = docs.select(F.explode(_words(F.col(text_col))).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count().toArrow()
-    classes = ["0"] * BUCKETS
-    for b, n in zip(rows["b"].to_pylist(), rows["count"].to_pylist(), strict=True):
-        classes[b] = str(setjoin.rarity_class(n))
-    return F.split(F.lit(",".join(classes)), ",").cast("array<tinyint>")
+    """The least length in bytes of words that count as rare. Any measure that all lines share is exact, and this one
+    needs no count, so docs is not read."""
+    return F.lit(RARE)
 
 
 def _set(line: Column, table: Column) -> Column:
-    """The line's words as numbers, rare ones first."""
-    hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
-    rare = lambda h: F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rare(h), setjoin.RARITY_SHIFT).bitwiseOR(F.shiftrightunsigned(h, 64 - setjoin.RARITY_SHIFT))))
+    """The line's words as sorted hashes of 63 bits, of which bit FLAG tells the rare ones."""
+    h = lambda w: F.shiftrightunsigned(F.xxhash64(w), 1)
+    number = lambda w: F.when(F.octet_length(w) >= table, h(w).bitwiseOR(F.lit(1 << FLAG))).otherwise(h(w).bitwiseAND(F.lit(~(1 << FLAG))))
+    return F.sort_array(F.array_distinct(F.transform(_words(line), number)))
 
 
 def _classes(docs: DataFrame, table: Column, least: int) -> DataFrame:
-    """docs (id, t, text) to (first, size, b1, b2, keys), one row for each set of words."""
+    """docs (id, t, text) to (first, size, b1, b2, keys, exact), one row for each set of words. keys are the upper bits of
+    the numbers, from which setjoin.py makes keys when it needs them: all keys together would take more room. exact has the
+    numbers of small sets."""
     cut = docs.select("id", "t", F.posexplode(F.split("text", "\n")).alias("n", "l"))
     # The outer forms: Spark infers no filter from them, which would evaluate the sets again.
     sets = cut.select("id", "t", "n", F.explode_outer(F.array(_set(F.col("l"), table))).alias("s")).where(F.size("s") >= least)
     b1, b2 = setjoin.signature(F.col("s"))
-    size = F.size("s")
-    # Pairs that reach LONG have keys of their own; the prefixes of long lines have very many.
-    few = F.when(size < setjoin.LONG, F.transform(setjoin.keys_of(F.col("s"), size), lambda k: F.xxhash64(k["key"]))).otherwise(F.array().cast("array<bigint>"))
-    keys = F.concat(few, setjoin.long_keys_of(F.col("s"), size))
-    full = sets.select("id", "t", "n", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), F.col("s")).alias("h2"), size.alias("size"), b1.alias("b1"), b2.alias("b2"), F.sort_array(keys).alias("keys"))
-    return full.groupBy("h1", "h2").agg(F.min(F.struct("id", "t", "n")).alias("first"), *[F.first(c).alias(c) for c in ("size", "b1", "b2", "keys")]).drop("h1", "h2")
+    full = sets.select("id", "t", "n", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), F.col("s")).alias("h2"), F.size("s").alias("size"), b1.alias("b1"), b2.alias("b2"), F.transform("s", lambda v: F.shiftright(v, FLAG).cast("int")).alias("keys"), F.when(F.size("s") < setjoin.EXACT, F.col("s")).otherwise(F.array().cast("array<bigint>")).alias("exact"))
+    return full.groupBy("h1", "h2").agg(F.min(F.struct("id", "t", "n")).alias("first"), *[F.first(c).alias(c) for c in ("size", "b1", "b2", "keys", "exact")]).drop("h1", "h2")
 
 
 def _sets_of(docs: DataFrame, firsts: DataFrame, table: Column) -> DataFrame:
@@ -91,36 +87,44 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.coalesce(text_col, F.lit("")).alias("text"))
     table = _rarity(docs, text_col)
-    found = written(_classes(src, table, least), "found")
-    release(spark)
-    # Numbers in the order of the first lines.
-    classes = written(found.sort("first").select(F.monotonically_increasing_id().alias("cid"), "*"), "classes")
-    discard(found)
+    # Classes are told by a number and ordered by their first lines. They are not sorted: that would write them twice.
+    classes = written(_classes(src, table, least).select(F.monotonically_increasing_id().alias("cid"), "*"), "classes")
     release(spark)
     firsts = written(classes.select("cid", "first"), "firsts")
 
-    def verified(parts: list[DataFrame], *done: DataFrame) -> DataFrame:
-        """The classes b of the candidates (a, b) that are similar to their a; done are tables not needed after them."""
+    def judged(of: DataFrame, parts: list[DataFrame]) -> DataFrame:
+        """The candidates (a, b) that can be similar, and whether it is sure."""
         found = []
         for part in parts:
             found.append(written(part, "candidates"))
             release(spark)
-        for df in done:
-            discard(df)
-        cand = reduce(DataFrame.unionByName, found).distinct()
-        met = cand.select(F.col("a").alias("cid")).unionByName(cand.select(F.col("b").alias("cid"))).distinct()
-        sets = _sets_of(src, firsts.join(met, "cid"), table)
-        out = written(setjoin.similar(sets, cand).select(F.col("b").alias("gone")).distinct(), "gone")
-        for df in (sets, *found):
+        out = setjoin.judged(of, reduce(DataFrame.unionByName, found).distinct())
+        for df in (of, *found):
             discard(df)
         release(spark)
         return out
 
-    near = verified([setjoin.hub_candidates(classes)])
+    gone = lambda pairs: pairs.select(F.col("b").alias("gone")).distinct()
+    hubs = written(setjoin.hub_candidates(classes), "candidates")
+    release(spark)
+    met = setjoin.judged(classes, hubs)
+    near = written(gone(met.where("sure")), "gone")
+    release(spark)
     signed = written(setjoin.signed(classes, near), "signed")
-    discard(classes)
+    for df in (classes, hubs, met):
+        discard(df)
+    release(spark)
+    met = judged(signed, [setjoin.later_candidates(signed, part) for part in range(setjoin.PARTS)])
+    # Texts are read again for what keys leave open only.
+    sure = written(gone(met.where("sure")), "gone")
+    left = written(met.where("NOT sure").select("a", "b").join(sure, F.col("b") == F.col("gone"), "left_anti"), "candidates")
+    discard(met)
+    sets = _sets_of(src, firsts.join(left.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid"), table)
+    close = written(gone(setjoin.similar(sets, left)), "gone")
+    for df in (sets, left):
+        discard(df)
     release(spark)
-    rest = verified([setjoin.later_candidates(signed, part) for part in range(setjoin.PARTS)], signed)
+    rest = sure.unionByName(close)
     led = firsts.join(near.unionByName(rest), F.col("cid") == F.col("gone"), "left").withColumn("gone", F.col("gone").isNotNull())
     kept = led.groupBy(F.col("first.id").alias("_id"), F.col("first.t").alias("_t")).agg(F.collect_list(F.when(~F.col("gone"), F.col("first.n"))).alias("_kept"), F.count_if("gone").alias("n_similar"))
     kept = written(kept, "kept")
